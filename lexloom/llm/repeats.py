@@ -4,9 +4,10 @@ A *window* is ``length`` consecutive words (split on ASCII white space, compared
 byte).  A window repeats when it occurs in at least two documents.  To find all such
 windows without moving the corpus, every document is winnowed: among each ``length``
 words, the smallest hash of ``gram`` consecutive words is an anchor, so two equal windows
-always share an anchor.  Only anchors travel; those of one document alone are dropped, and
-the words around the others (a *segment*, which holds every window around the anchor)
-are fetched once for each distinct segment and sent to the shard of the anchor.  There
+always share an anchor.  Only anchors travel, each with hashes of three stretches around it, one
+of which lies in any window around the anchor.  Anchors without a stretch of another document
+are dropped, and the words around the others (a *segment*, which holds every window around
+the anchor) are fetched once for each distinct segment and sent to the shard of the anchor.  There
 the exact structure (suffix array or suffix automaton) decides; hashes only ever select
 candidates.
 """
@@ -25,20 +26,22 @@ from lexloom.storage import materialize
 from .vectext import SPACE_CLASS, Stretch, Words, chunks, signed, sliding
 
 LENGTH = 50
-GRAM = 25
+GRAM = 16
 #: Words of segments that one shard structure holds at most, unless one anchor alone has more.
 SHARD_WORDS = 600_000
 
-ANCHORS = "anchor long, segment long, doc_id long, start long, n_words int"
+ANCHORS = "anchor long, segment long, doc_id long, start long, n_words int, h0 long, h1 long, h2 long"
+_STRETCHES = ("h0", "h1", "h2")
 SEGMENTS = "anchor long, segment long, min_doc long, max_doc long, words string"
 RUNS = "anchor long, segment long, lo int, hi int, first_doc long"
 
 
-def anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
+def anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray | pa.Array]:
     """The anchors of a chunk of documents."""
     words = Words(data, offs)
     n, width = len(words.start), length - gram + 1
     empty = {"anchor": np.zeros(0, np.int64), "segment": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n_words": np.zeros(0, np.int32)}
+    empty |= {h: np.zeros(0, np.int64) for h in _STRETCHES}
     if n < length:
         return empty
     sums = Stretch(words.hashes())
@@ -55,8 +58,16 @@ def anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int,
     row = words.row[picked]
     first = np.maximum(words.bounds[row], picked - (length - gram))
     end = np.minimum(words.bounds[row + 1], picked + length)
+    # a window that begins up to ``most`` words before the anchor holds at least one of three stretches
+    most = length - gram
+    stretches = {}
+    for name, before, after in zip(_STRETCHES, (0, most // 3 + 1, 2 * most // 3 + 1), (most - most // 3, most - 2 * most // 3, 0), strict=True):
+        a, b = picked - before, picked + gram + after
+        inside = (a >= words.bounds[row]) & (b <= words.bounds[row + 1])
+        hashes = signed(sums.hash(np.where(inside, a, 0), np.where(inside, b, 0)))
+        stretches[name] = pa.array(hashes, mask=~inside)
     body = sums.hash(first, end) ^ (np.uint64(0x9E3779B97F4A7C15) * (picked - first + 1).astype(np.uint64))
-    return {"anchor": signed(grams[picked]), "segment": signed(body), "doc_id": ids[row], "start": first - words.bounds[row], "n_words": (end - first).astype(np.int32)}
+    return {"anchor": signed(grams[picked]), "segment": signed(body), "doc_id": ids[row], "start": first - words.bounds[row], "n_words": (end - first).astype(np.int32)} | stretches
 
 
 def _emit_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -71,12 +82,22 @@ def _emit_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Whether two documents have the keys; all keys begin with the anchor, so rows move once."""
+    same = Window.partitionBy(*keys)
+    return rows.withColumn("shared", F.min("doc_id").over(same) < F.max("doc_id").over(same))
+
+
 def candidates(docs: DataFrame, length: int, gram: int, label: str) -> DataFrame:
-    """Stored anchors that occur in two documents or more."""
+    """Stored anchors with a stretch that occurs in two documents or more."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = rows.mapInArrow(_emit_anchors(length, gram), ANCHORS)
-    same = Window.partitionBy("anchor")
-    kept = found.withColumn("a", F.min("doc_id").over(same)).withColumn("b", F.max("doc_id").over(same)).where("a < b").drop("a", "b")
+    kept = _shared(found, ["anchor"]).where("shared")
+    hits = []
+    for h in _STRETCHES:
+        kept = _shared(kept, ["anchor", h]).withColumnRenamed("shared", f"shared_{h}")
+        hits.append(F.col(h).isNotNull() & F.col(f"shared_{h}"))
+    kept = kept.where(hits[0] | hits[1] | hits[2]).select("anchor", "segment", "doc_id", "start", "n_words")
     return materialize(kept, label)
 
 
@@ -113,7 +134,7 @@ def segments(docs: DataFrame, found: DataFrame) -> DataFrame:
     return texts.mapInArrow(_cut, SEGMENTS)
 
 
-def in_shards(rows: DataFrame, runs_of: Callable[..., tuple[np.ndarray, ...]], length: int) -> DataFrame:
+def in_shards(rows: DataFrame, runs_of: Callable[..., tuple[np.ndarray, ...]], length: int, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Apply an exact structure to each shard of segments; a shard is a run of whole anchors.
 
     ``runs_of(words, bounds, min_doc, max_doc, length)`` gets integer words, the bounds of
@@ -151,12 +172,12 @@ def in_shards(rows: DataFrame, runs_of: Callable[..., tuple[np.ndarray, ...]], l
             weight = np.cumsum(batch.column(5).to_numpy())
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             lo = done = 0
-            if held and size >= SHARD_WORDS and keys[0] != held[-1].column(0)[-1].as_py():
+            if held and size >= shard_words and keys[0] != held[-1].column(0)[-1].as_py():
                 if (out := shard(_joined(held))) is not None:
                     yield out
                 held, size = [], 0
             # a shard ends only where an anchor ends
-            while (k := int(np.searchsorted(weight[cuts - 1], SHARD_WORDS - size + done))) < len(cuts):
+            while (k := int(np.searchsorted(weight[cuts - 1], shard_words - size + done))) < len(cuts):
                 held.append(batch.slice(lo, int(cuts[k]) - lo))
                 if (out := shard(_joined(held))) is not None:
                     yield out
@@ -194,8 +215,8 @@ def spans(found: DataFrame, runs: DataFrame) -> DataFrame:
     return merged(each, ["doc_id", "is_first"]).select("doc_id", "is_first", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
-#: Spans by brute force: every window is spelled out, so it is for small tables only.
-SPANS_SQL = f"""
+#: Windows by brute force: every one is spelled out, so it is for small tables only.
+WINDOWS_SQL = f"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACE_CLASS}'), lambda x: x <> '') AS ws
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
@@ -211,7 +232,9 @@ WITH w AS (
   SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id, is_first ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS new FROM p
 ), i AS (
   SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM q
+), spans AS (
+  SELECT doc_id, is_first, min(a)::BIGINT AS start_word, max(b)::BIGINT AS end_word, (max(b) - min(a))::BIGINT AS n_words, min(first_doc) AS first_doc_id
+  FROM i GROUP BY doc_id, is_first, island
 )
-SELECT doc_id, is_first, min(a)::BIGINT AS start_word, max(b)::BIGINT AS end_word, (max(b) - min(a))::BIGINT AS n_words, min(first_doc) AS first_doc_id
-FROM i GROUP BY doc_id, is_first, island
 """
+SPANS_SQL = WINDOWS_SQL + "SELECT * FROM spans"
