@@ -1,15 +1,253 @@
-"""Registered queries over the reference's own operators, with their DuckDB SQL."""
+"""Registered queries over the library's own operators, with their DuckDB SQL.
+
+All run over the whole ``documents`` table, tokenized at white space.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import expr as X
+from . import search
+from .functions import columns, markup, stemmers
+from .operators.index import FieldSpec, Index, IndexSchema, build_index
+from .plans import compiler
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+TERMS = ["the", "erenan", "the"]
+_SPLIT = "list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
+
+#: Shared SQL: tokens, postings, lengths, statistics of the field ``text``.
+_BASE = f"""
+WITH d AS (SELECT doc_id, {_SPLIT} AS ts FROM documents WHERE doc_id IS NOT NULL),
+lengths AS (SELECT doc_id, len(coalesce(ts, []))::INT AS length FROM d),
+tokens AS (SELECT doc_id, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM d),
+p AS (SELECT term, doc_id, count(*)::INT AS tf, list(pos::INT ORDER BY pos) AS positions FROM tokens GROUP BY term, doc_id),
+st AS (SELECT count(*)::DOUBLE AS n, sum(length)::DOUBLE AS cl FROM lengths),
+v AS (SELECT term, count(*)::DOUBLE AS df, sum(tf)::DOUBLE AS cf FROM p GROUP BY term)
+"""
+
+
+def _index(spark: SparkSession, sf_dir: str, *extra: tuple[str, FieldSpec]) -> Index:
+    schema = IndexSchema().declare("text")
+    for name, spec in extra:
+        schema.declare(name, spec)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return build_index(docs.withColumn("name", F.concat_ws("-", "source", "doc_id")), schema, name="name")
+
+
+def _t(term: str) -> X.Text:
+    return X.Text(term, "text")
+
+
+def _b(term: str, **options) -> X.BM25:
+    return X.BM25(_t(term), **options)
+
+
+def _scored(expr: X.Node, *extra: tuple[str, FieldSpec], top: int | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = _index(spark, sf_dir, *extra)
+        found = search.search(index, expr, top) if top else compiler.scores(index, expr)
+        return found.select("doc_id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _matched(expr: X.Node) -> Query:
+    return lambda spark, sf_dir: compiler.matching(_index(spark, sf_dir), expr)
+
+
+def _counted(expr: X.Node) -> Query:
+    return lambda spark, sf_dir: compiler.counts(_index(spark, sf_dir), expr)
+
+
+def _table(of: Callable[[Index], DataFrame], *extra: tuple[str, FieldSpec]) -> Query:
+    return lambda spark, sf_dir: of(_index(spark, sf_dir, *extra))
+
+
+def _bm25(tf: str, df: str, k: float = 1.2, b: float = 0.75, n: str = "st.n", cl: str = "st.cl") -> str:
+    return f"ln({n}::DOUBLE/({df}+0.5::DOUBLE))*{tf}*{k + 1}::DOUBLE/({tf}+{k}::DOUBLE*({1 - b}::DOUBLE+{b}::DOUBLE*length/({cl}::DOUBLE/{n})))"
+
+
+def _score_sql(parts: list[tuple[str, str]], k: float = 1.2, b: float = 0.75) -> str:
+    """Sum of weighted BM25 of single terms."""
+    each = " UNION ALL ".join(f"SELECT doc_id, {w}::DOUBLE * {_bm25('p.tf', 'v.df', k, b)} AS x FROM p JOIN v USING (term) JOIN lengths USING (doc_id), st WHERE term = '{t}'" for t, w in parts)
+    return f"{_BASE} SELECT doc_id, round(sum(x), 6) AS score FROM ({each}) GROUP BY doc_id"
+
+
+def _has(term: str) -> str:
+    return f"(SELECT doc_id FROM p WHERE term = '{term}')"
+
+
+def _ql(kind: str, terms: list[str], parameter: float) -> str:
+    each = []
+    for t in terms:
+        tf, cf = f"coalesce((SELECT tf FROM p WHERE term = '{t}' AND p.doc_id = c.doc_id), 0)::DOUBLE", f"(SELECT cf FROM v WHERE term = '{t}')"
+        if kind == "dirichlet":
+            each.append(f"ln(({tf} + {parameter}::DOUBLE * ({cf} / st.cl)) / (length + {parameter}::DOUBLE))")
+        else:
+            each.append(f"ln({parameter}::DOUBLE * ({tf} / length) + {1 - parameter}::DOUBLE * ({cf} / st.cl))")
+    inside = ", ".join(f"'{t}'" for t in terms)
+    return f"{_BASE}, c AS (SELECT DISTINCT doc_id FROM p WHERE term IN ({inside})) SELECT doc_id, round({' + '.join(each)}, 6) AS score FROM c JOIN lengths USING (doc_id), st"
+
+
+def _window_sql(condition: str, first: str = "SELECT doc_id, pos FROM tokens WHERE term = 'of'") -> str:
+    return f"{_BASE}, a AS ({first}) SELECT doc_id, count(DISTINCT pos)::INT AS tf FROM a WHERE {condition} GROUP BY doc_id"
+
+
+def _follows(of: str, term: str, step: int, more: str = "") -> str:
+    return f"EXISTS (SELECT 1 FROM tokens {term}_ WHERE {term}_.doc_id = {of}.doc_id AND {term}_.term = '{term}' AND {term}_.pos > {of}.pos AND {term}_.pos - {of}.pos <= {step}{more})"
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    found = search.search_batch(_index(spark, sf_dir), asked, 10, "text")
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    one = index.documents.agg(F.min("doc_id")).first()[0]
+    return search.explain(index, X.Combine((_b("the"), _b("of")), (1.0, 0.5)), one or 0)
+
+
+def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", markup.markup_document("html", ("title", "article", "p")).alias("d")).select("page_id", F.size("d.terms").alias("n_terms"), F.size("d.tags").alias("n_tags"), F.col("d.terms").alias("terms"))
+
+
+def _stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    stems = stemmers.stem_vocabulary(index.postings, stemmers.porter2)
+    view = index.with_stems(stems, "porter", "text")
+    return view.postings.where("stemmer = 'porter'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    joined = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id", "left")
+    index = build_index(joined, IndexSchema().declare("text").declare("quality", "sparse_float"))
+    return compiler.scores(index, X.FloatParam("quality", 0.25))
+
+
+_LONG = ("n_chars", FieldSpec("dense_int"))
+_LANG = ("lang", FieldSpec("categorical"))
+_STATS = X.CountStats(5000, 400, 1_000_000, 2000)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {
+        "bm25_topk": _scored(X.Combine(tuple(map(_b, TERMS)), (1.0,) * 3), top=1000),
+        "tokenize_terms": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", columns.whitespace_tokens("text").alias("terms")),
+        "term_freq": _table(lambda i: i.postings.select("term", "doc_id", "tf")),
+        "term_positions": _table(lambda i: i.postings.select("term", "doc_id", "positions")),
+        "term_docs": _table(lambda i: i.postings_of("of", "text", "Docs")),
+        "doc_lengths": _table(lambda i: i.lengths_of("text")),
+        "vocab_df_cf": _table(lambda i: i.vocabulary().select("term", "df", "cf", "max_tf")),
+        "term_list": _table(lambda i: i.terms("text")),
+        "field_stats": _table(lambda i: i.field_stats().withColumn("average_length", F.round("average_length", 6))),
+        "minmax_len_per_term": _table(lambda i: i.term_lengths().select("term", "min_length", "max_length")),
+        "categorical_docs": _table(lambda i: i.postings_of("en", "lang", "Docs"), _LANG),
+        "name_lookup": _table(lambda i: i.documents.select("doc_id", "name")),
+        "match_and": _matched(X.And((_t("the"), _t("of")))),
+        "match_or": _matched(X.Or((_t("de"), _t("und")))),
+        "match_not": _matched(X.Not(_t("the"))),
+        "require": _scored(X.Require(_t("of"), _b("the"))),
+        "reject": _scored(X.Reject(_t("of"), _b("the"))),
+        "must": _scored(X.Must(_t("on"), _b("the"))),
+        "always_match": _scored(X.AlwaysMatch()),
+        "never_match": _matched(X.NeverMatch()),
+        "bm25_single": _scored(_b("the")),
+        "bm25_weighted_combine": _scored(X.Combine((_b("the"), _b("de"), _b("und")), (1.0, 2.5, -0.5))),
+        "bm25_custom_bk": _scored(_b("the", b=0.3, k=2.0)),
+        "bm25_explicit_stats": _scored(_b("the", stats=_STATS)),
+        "bm25_missing_term": _scored(X.Combine((_b("the"), _b("nosuchterm")), (1.0, 1.0))),
+        "sum": _scored(X.Sum((_b("the"), _b("of")))),
+        "mult": _scored(X.Mult((_b("the"), _b("of")))),
+        "max": _scored(X.Max((_b("the"), _b("of")))),
+        "weighted": _scored(X.Weighted(3.0, _b("of"))),
+        "dirichlet_ql": _scored(X.Sum((X.DirQL(_t("the")), X.DirQL(_t("of"))))),
+        "jm_ql": _scored(X.Sum((X.LinearQL(_t("the")), X.LinearQL(_t("of"))))),
+        "phrase": _counted(X.phrase("of", "the", field="text")),
+        "ordered_window": _counted(X.OrderedWindow((_t("of"), _t("the"), _t("and")), 3)),
+        "unordered_window": _counted(X.UnorderedWindow((_t("of"), _t("the")), 8)),
+        "unordered_document": _counted(X.UnorderedWindow((_t("of"), _t("the")))),
+        "synonym": _counted(X.Synonym((_t("the"), _t("of")))),
+        "synonym_bm25": _scored(X.BM25(X.Synonym((_t("the"), _t("of"))))),
+        "phrase_bm25": _scored(X.BM25(X.phrase("of", "the", field="text"))),
+        "long_param": _scored(X.LongParam("n_chars", -1), _LONG),
+        "float_param": _sparse,
+        "lengths": _counted(X.Lengths("text")),
+        "batch_topk": _batch,
+        "entity_skip": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", columns.skip_entities("text").alias("text")),
+        "position_gaps": _table(lambda i: i.postings.select("term", "doc_id", columns.gaps("positions").alias("gaps"))),
+        "unicode_tokens": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", columns.unicode_tokens("text").alias("terms")),
+        "explain": _explained,
+        "markup_tokens": _markup,
+        "porter_vocabulary": _stemmed,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    one = lambda where: f"{_BASE} SELECT doc_id, round({_bm25('p.tf', 'v.df')}, 6) AS score FROM p JOIN v USING (term) JOIN lengths USING (doc_id), st WHERE term = 'the' AND {where}"
+    pair = lambda how: f"""{_BASE}, x AS (SELECT doc_id, term, {_bm25("p.tf", "v.df")} AS s FROM p JOIN v USING (term) JOIN lengths USING (doc_id), st WHERE term IN ('the', 'of')),
+      y AS (SELECT doc_id, coalesce(max(s) FILTER (term = 'the'), 0) AS a, coalesce(max(s) FILTER (term = 'of'), 0) AS b FROM x GROUP BY doc_id) SELECT doc_id, round({how}, 6) AS score FROM y"""
+    phrase = _follows("a", "the", 1)
+    return {
+        "bm25_topk": _score_sql([(t, "1") for t in TERMS]) + " ORDER BY sum(x) DESC, doc_id LIMIT 1000",
+        "tokenize_terms": f"SELECT doc_id, {_SPLIT} AS terms FROM documents",
+        "term_freq": f"{_BASE} SELECT term, doc_id, tf FROM p",
+        "term_positions": f"{_BASE} SELECT term, doc_id, positions FROM p",
+        "term_docs": f"{_BASE} SELECT doc_id FROM p WHERE term = 'of'",
+        "doc_lengths": f"{_BASE} SELECT doc_id, length FROM lengths",
+        "vocab_df_cf": f"{_BASE} SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, max(tf)::INT AS max_tf FROM p GROUP BY term",
+        "term_list": f"{_BASE} SELECT DISTINCT term FROM p",
+        "field_stats": f"{_BASE} SELECT 'text' AS field, count(*)::BIGINT AS document_count, count(*) FILTER (length > 0)::BIGINT AS nonzero, sum(length)::BIGINT AS collection_length, round(avg(length), 6) AS average_length, min(length) AS min_length, max(length) AS max_length, max(doc_id) AS max_doc_id FROM lengths",
+        "minmax_len_per_term": f"{_BASE} SELECT term, min(length) AS min_length, max(length) AS max_length FROM p JOIN lengths USING (doc_id) GROUP BY term",
+        "categorical_docs": "SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND doc_id IS NOT NULL",
+        "name_lookup": "SELECT doc_id, concat_ws('-', source, doc_id::VARCHAR) AS name FROM documents WHERE doc_id IS NOT NULL",
+        "match_and": f"{_BASE} {_has('the')} INTERSECT {_has('of')}",
+        "match_or": f"{_BASE} {_has('de')} UNION {_has('und')}",
+        "match_not": f"{_BASE} SELECT doc_id FROM lengths WHERE doc_id NOT IN {_has('the')}",
+        "require": one(f"doc_id IN {_has('of')}"),
+        "reject": one(f"doc_id NOT IN {_has('of')}"),
+        "must": one(f"doc_id IN {_has('on')}"),
+        "always_match": "SELECT doc_id, 0::DOUBLE AS score FROM documents WHERE doc_id IS NOT NULL",
+        "never_match": "SELECT doc_id FROM documents WHERE false",
+        "bm25_single": one("true"),
+        "bm25_weighted_combine": _score_sql([("the", "1"), ("de", "2.5"), ("und", "-0.5")]),
+        "bm25_custom_bk": _score_sql([("the", "1")], 2.0, 0.3),
+        "bm25_explicit_stats": f"{_BASE} SELECT doc_id, round({_bm25('p.tf', '400', n='2000', cl='1000000')}, 6) AS score FROM p JOIN lengths USING (doc_id) WHERE term = 'the'",
+        "bm25_missing_term": _score_sql([("the", "1")]),
+        "sum": _score_sql([("the", "1"), ("of", "1")]),
+        "mult": pair("a * b"),
+        "max": pair("greatest(a, b)"),
+        "weighted": _score_sql([("of", "3")]),
+        "dirichlet_ql": _ql("dirichlet", ["the", "of"], 1500.0),
+        "jm_ql": _ql("jm", ["the", "of"], 0.3),
+        "phrase": _window_sql(phrase),
+        "ordered_window": _window_sql(_follows("a", "the", 3, " AND " + _follows("the_", "and", 3))),
+        "unordered_window": _window_sql(
+            " AND ".join(f"EXISTS (SELECT 1 FROM tokens t WHERE t.doc_id = a.doc_id AND t.term = '{t}' AND t.pos >= a.pos AND t.pos < a.pos + 8)" for t in ("of", "the")),
+            "SELECT doc_id, pos FROM tokens WHERE term IN ('of', 'the')",
+        ),
+        "unordered_document": f"{_BASE} SELECT a.doc_id, least(a.tf, b.tf)::INT AS tf FROM p a JOIN p b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the'",
+        "synonym": f"{_BASE} SELECT doc_id, sum(tf)::INT AS tf FROM p WHERE term IN ('the', 'of') GROUP BY doc_id",
+        "synonym_bm25": f"""{_BASE}, s AS (SELECT doc_id, sum(tf)::DOUBLE AS tf FROM p WHERE term IN ('the', 'of') GROUP BY doc_id), z AS (SELECT count(*)::DOUBLE AS df FROM s)
+          SELECT doc_id, round({_bm25("s.tf", "z.df")}, 6) AS score FROM s JOIN lengths USING (doc_id), st, z""",
+        "phrase_bm25": f"""{_BASE}, a AS (SELECT doc_id, pos FROM tokens WHERE term = 'of'), s AS (SELECT doc_id, count(*)::DOUBLE AS tf FROM a WHERE {phrase} GROUP BY doc_id), z AS (SELECT count(*)::DOUBLE AS df FROM s)
+          SELECT doc_id, round({_bm25("s.tf", "z.df")}, 6) AS score FROM s JOIN lengths USING (doc_id), st, z""",
+        "long_param": "SELECT doc_id, coalesce(n_chars, 0)::DOUBLE AS score FROM documents WHERE doc_id IS NOT NULL",
+        "float_param": "SELECT doc_id, coalesce(quality, 0.25)::DOUBLE AS score FROM documents LEFT JOIN labels USING (doc_id)",
+        "lengths": f"{_BASE} SELECT doc_id, length AS tf FROM lengths",
+        "batch_topk": f"""{_BASE}, q AS (SELECT item_id AS query_id, unnest({_SPLIT}) AS term FROM benchmark), w AS (SELECT query_id, term, count(*)::DOUBLE AS times FROM q GROUP BY ALL),
+          s AS (SELECT query_id, doc_id, sum(times * {_bm25("p.tf", "v.df")}) AS score FROM w JOIN p USING (term) JOIN v USING (term) JOIN lengths USING (doc_id), st GROUP BY ALL),
+          r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
+        "entity_skip": "SELECT doc_id, regexp_replace(text, '&[a-z0-9#]*;', ' ', 'g') AS text FROM documents",
+        "position_gaps": f"{_BASE} SELECT term, doc_id, list_transform(positions, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE positions[i - 1] END)::INT) AS gaps FROM p",
+        "unicode_tokens": "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS terms FROM documents",
+    }
