@@ -4,10 +4,11 @@ A *window* is ``length`` consecutive words (split on ASCII white space, compared
 byte).  A window repeats when it occurs in at least two documents.  To find all such
 windows without moving the corpus, every document is winnowed: among each ``length``
 words, the smallest hash of ``gram`` consecutive words is an anchor, so two equal windows
-always share an anchor.  Only anchors travel, each with hashes of three stretches around it, one
-of which lies in any window around the anchor.  Anchors without a stretch of another document
-are dropped, and the words around the others (a *segment*, which holds every window around
-the anchor) are fetched once for each distinct segment and sent to the shard of the anchor.  There
+always have equal anchors.  A window belongs to its smallest anchor, and the *segment* of an
+anchor is the words of the windows that belong to it, so all copies of a window meet in one group.
+Only anchors travel, each with hashes of three stretches around it, one of which lies in any
+window that holds the anchor.  Anchors without a stretch of another document are dropped; the
+words of the others are fetched once for each distinct segment and sent to the anchor's shard.  There
 the exact structure (suffix array or suffix automaton) decides; hashes only ever select
 candidates.
 """
@@ -56,14 +57,22 @@ def anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int,
     if not len(picked):
         return empty
     row = words.row[picked]
-    first = np.maximum(words.bounds[row], picked - (length - gram))
-    end = np.minimum(words.bounds[row + 1], picked + length)
-    # a window that begins up to ``most`` words before the anchor holds at least one of three stretches
+    # the windows whose smallest gram this is: a run of starts that ends at the anchor or before
+    first = np.full(len(picked), -1, np.int64)
+    last_start = np.full(len(picked), -1, np.int64)
+    own = grams[picked]
+    for back in range(width):
+        start = picked - back
+        ok = (start >= 0) & (start < len(low))
+        ok[ok] = low[start[ok]] == own[ok]
+        first = np.where(ok, start, first)
+        last_start = np.where(ok & (last_start < 0), start, last_start)
+    end = last_start + length
     most = length - gram
     stretches = {}
     for name, before, after in zip(_STRETCHES, (0, most // 3 + 1, 2 * most // 3 + 1), (most - most // 3, most - 2 * most // 3, 0), strict=True):
         a, b = picked - before, picked + gram + after
-        inside = (a >= words.bounds[row]) & (b <= words.bounds[row + 1])
+        inside = (a >= first) & (b <= end)
         hashes = signed(sums.hash(np.where(inside, a, 0), np.where(inside, b, 0)))
         stretches[name] = pa.array(hashes, mask=~inside)
     body = sums.hash(first, end) ^ (np.uint64(0x9E3779B97F4A7C15) * (picked - first + 1).astype(np.uint64))
