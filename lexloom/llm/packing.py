@@ -1,17 +1,20 @@
 """Retrieval packing: windows of ``WINDOW`` words filled with lexically near documents.
 
-The corpus is cut into shards of about ``SHARD_DOCS`` documents of one language, by a hash of
-the id, and each shard gets its own BM25 inverted index over whole texts (lower-cased
-white-space words).  In a shard, documents are seeds in order of doc_id unless they are
-used already.  A seed opens a window; its unused neighbours in the shard come in order of
+Each language has one BM25 inverted index over whole texts (lower-cased white-space words).  It
+is built in shards of ``SHARD_DOCS`` documents, which are merged before anything is scored:
+document frequencies and the average length are those of the whole language, and a seed meets
+the documents of all shards.  Documents are seeds in order of doc_id unless they are
+used already.  A seed opens a window; its unused neighbours come in order of
 their BM25 score for the whole seed as query (ties: doc_id) and each one that fits goes into
 the window, until the window is full or no neighbour with a score above zero fits.  A document
 longer than a window first fills windows of its own; what is left of it is packed like
 any document.  So every word of every document lies in exactly one window.
 
-Within its shard the search is exact: terms that one document alone holds can't add to a
-neighbour's score, and terms in half of the shard or more weigh nothing (idf is floored at
-zero), so leaving both out of the index changes no score.
+The search is exact: terms that one document alone holds can't add to a
+neighbour's score, and terms in half of the language or more weigh nothing (idf is floored at
+zero), so leaving both out of the index changes no score.  What a seed takes depends on all seeds
+before it, so one task packs a language and holds its index (not its texts) in memory; its work
+grows with the square of the language's documents.
 
 Nulls: rows without doc_id or text, and texts without words, fill no window.  Rows of one
 doc_id with equal text count once; with different texts each is packed.  A null language is a
@@ -28,56 +31,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.storage import materialize
-
-from .vectext import Words, chunks, ranges
+from .vectext import Words, chunks
 
 WINDOW = 2048
 SHARD_DOCS = 2000
 K1, B = 1.2, 0.75
-BROADCAST_ROWS = 100_000
 
 PACKED = "window_id string, slot int, doc_id long, start_word long, end_word long, score double"
 
 
-def index_shard(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, and BM25 postings both ways: (doc bounds, terms), (term bounds, docs, weights)."""
-    terms, rows, lengths = [], [], []
-    for lo, data, offs in chunks(texts):
-        words = Words(data, offs, lower=True)
-        terms.append(words.hashes())
-        rows.append(words.row + lo)
-        lengths.append(np.diff(words.bounds))
-    length = np.concatenate(lengths)
+#: Neighbours are ranked so many at a time, until a window is full.
+_STEP = 256
+#: Postings of used documents are taken out so many at a time.
+_BLOCK = 1 << 20
+
+Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def index_shards(texts: pa.Array, shard_docs: int = SHARD_DOCS) -> Iterator[Shard]:
+    """Shards of an index: lengths, terms, their document counts, and of each posting, by document: row, place of its term, count."""
+    for at in range(0, len(texts), shard_docs):
+        for _, data, offs in chunks(texts.slice(at, shard_docs)):
+            words = Words(data, offs, lower=True)
+            terms, place = np.unique(words.hashes(), return_inverse=True)
+            width = max(len(terms), 1)
+            posting, tf = np.unique(words.row * width + place, return_counts=True)
+            row, place = posting // width, posting % width
+            yield np.diff(words.bounds), terms, np.bincount(place, minlength=len(terms)), _small(row), _small(place), _small(tf)
+
+
+def _small(numbers: np.ndarray) -> np.ndarray:
+    return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 1 << 16 else np.int64)
+
+
+def merge_shards(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and BM25 postings both ways: (doc bounds, terms), (term bounds, docs, weights).  Empties the list."""
+    length = np.concatenate([s[0] for s in shards])
     n = len(length)
-    order = np.argsort(np.concatenate(terms), kind="stable")
-    term, row = np.concatenate(terms)[order], np.concatenate(rows)[order]
-    new = np.ones(len(term), bool)
-    new[1:] = (term[1:] != term[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    tf = np.diff(np.append(at, len(term)))
-    term, row = term[at], row[at]
-    new = np.ones(len(term), bool)
-    new[1:] = term[1:] != term[:-1]
-    first = np.flatnonzero(new)
-    df = np.diff(np.append(first, len(term)))
+    vocabulary = np.unique(np.concatenate([s[1] for s in shards]))
+    df = np.zeros(len(vocabulary), np.int64)
+    for s in shards:
+        df[np.searchsorted(vocabulary, s[1])] += s[2]
     idf = np.log((n - df + 0.5) / (df + 0.5))
     useful = (df > 1) & (idf > 0)
-    keep = np.repeat(useful, df)
-    row, tf = row[keep], tf[keep]
+    number = np.cumsum(useful, dtype=np.int32) - np.int32(1)
     df, idf = df[useful], idf[useful]
     average = length.mean() if n else 1.0
-    weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / max(average, 1e-9)))
+    norm = K1 * (1 - B + B * length / max(average, 1e-9))
     bounds = np.append(0, np.cumsum(df))
-    number = np.repeat(np.arange(len(df)), df)
-    by_doc = np.argsort(row, kind="stable")
-    return length, np.append(0, np.cumsum(np.bincount(row, minlength=n))), number[by_doc], bounds, row, weight
-
-
-def pack_shard(ids: np.ndarray, texts: pa.Array, window: int = WINDOW) -> list[tuple[int, int, int, int, int, float]]:
-    """(window, slot, row, start, end, score) of a shard whose rows are in order of their ids."""
-    length, doc_bounds, doc_terms, bounds, docs, weights = index_shard(texts)
-    n = len(ids)
+    terms, docs, weights = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int32), np.empty(bounds[-1])
+    per_doc, free = np.zeros(n, np.int64), bounds[:-1].copy()
+    at = lo = 0
+    # a shard goes as soon as its postings are placed, so that little is held twice
+    shards.reverse()
+    while shards:
+        own, words, _, row, place, tf = shards.pop()
+        where = np.searchsorted(vocabulary, words)
+        keep = useful[where][place]
+        row, term, tf = row[keep] + np.int64(lo), number[where][place[keep]], tf[keep]
+        terms[at : at + len(term)] = term
+        at += len(term)
+        per_doc[lo : lo + len(own)] = np.bincount(row - lo, minlength=len(own))
+        lo += len(own)
+        order = np.argsort(term, kind="stable")
+        row, term, tf = row[order], term[order], tf[order]
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        run = np.diff(np.append(first, len(term)))
+        to = np.repeat(free[term[first]] - first, run) + np.arange(len(term))
+        free[term[first]] += run
+        docs[to] = row
+        weights[to] = idf[term] * tf * (K1 + 1) / (tf + norm[row])
+    return length, np.append(0, np.cumsum(per_doc)), terms, bounds, docs, weights
+
+
+def pack_shards(shards: list[Shard], window: int = WINDOW) -> list[tuple[int, int, int, int, int, float]]:
+    """(window, slot, row, start, end, score) of the documents of all shards, whose rows are in order of their ids."""
+    length, doc_bounds, doc_terms, bounds, docs, weights = merge_shards(shards)
     out, count = [], 0
     rest = length.copy()
     for r in np.flatnonzero(length >= window):
@@ -87,79 +116,112 @@ def pack_shard(ids: np.ndarray, texts: pa.Array, window: int = WINDOW) -> list[t
         rest[r] = length[r] % window
     unused = rest > 0
     smallest = int(rest[unused].min()) if unused.any() else 0
-    for seed in range(n):
+    left = int(unused.sum())
+    # postings of used documents go as soon as these are a quarter
+    alive, alive_rest = np.arange(len(length)), rest
+    for seed in range(len(length)):
         if not unused[seed]:
             continue
         unused[seed] = False
+        left -= 1
         out.append((count, 0, seed, int(length[seed] - rest[seed]), int(length[seed]), 0.0))
         space, slot = window - int(rest[seed]), 1
         if space >= smallest:
             own = doc_terms[doc_bounds[seed] : doc_bounds[seed + 1]]
-            at = ranges(bounds[own], bounds[own + 1] - bounds[own])
-            score = np.bincount(docs[at], weights[at], minlength=n)
-            near = np.flatnonzero(unused & (score > 0) & (rest <= space))
+            at = list(zip(bounds[own].tolist(), bounds[own + 1].tolist(), strict=True))
+            score = np.zeros(len(alive))
+            if at:
+                score = np.bincount(np.concatenate([docs[a:b] for a, b in at]), np.concatenate([weights[a:b] for a, b in at]), minlength=len(alive))
+            near = np.flatnonzero(unused[alive] & (score > 0) & (alive_rest <= space))
             # sums of the same terms can differ in their last bits by the order of rows
-            near = near[np.lexsort((near, -np.round(score[near], 6)))]
-            for r in near:
-                if rest[r] <= space:
-                    out.append((count, slot, int(r), int(length[r] - rest[r]), int(length[r]), round(float(score[r]), 6)))
-                    unused[r] = False
-                    space -= int(rest[r])
-                    slot += 1
-                    if space < smallest:
-                        break
+            score = np.round(score[near], 6)
+            while len(near) and space >= smallest:
+                best = np.ones(len(near), bool)
+                if len(near) > _STEP:
+                    best = score >= np.partition(score, len(near) - _STEP)[len(near) - _STEP]
+                now = np.flatnonzero(best)
+                now = now[np.lexsort((now, -score[now]))]
+                for r, s in zip(alive[near[now]].tolist(), score[now].tolist(), strict=True):
+                    size = int(rest[r])
+                    if size <= space:
+                        out.append((count, slot, r, int(length[r]) - size, int(length[r]), s))
+                        unused[r] = False
+                        left -= 1
+                        space -= size
+                        slot += 1
+                        if space < smallest:
+                            break
+                more = ~best & (alive_rest[near] <= space)
+                near, score = near[more], score[more]
         count += 1
+        if left < len(alive) * 3 // 4:
+            live = unused[alive]
+            place = np.cumsum(live) - 1
+            # in place, so that no second copy of the postings is held
+            end, cuts = 0, np.zeros(len(bounds), np.int64)
+            for lo in range(0, len(docs), _BLOCK):
+                keep = live[docs[lo : lo + _BLOCK]]
+                inside = slice(*np.searchsorted(bounds, [lo, lo + len(keep)], "right"))
+                cuts[inside] = end + np.append(0, np.cumsum(keep))[bounds[inside] - lo]
+                m = int(keep.sum())
+                docs[end : end + m], weights[end : end + m] = place[docs[lo : lo + _BLOCK][keep]], weights[lo : lo + _BLOCK][keep]
+                end += m
+            bounds, docs, weights = cuts, docs[:end], weights[:end]
+            alive = alive[unused[alive]]
+            alive_rest = rest[alive]
+            smallest = int(alive_rest.min()) if left else 0
     return out
 
 
-def _pack(window: int):
+def pack_shard(ids: np.ndarray, texts: pa.Array, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> list[tuple[int, int, int, int, int, float]]:
+    """(window, slot, row, start, end, score) of texts whose rows are in order of their ids."""
+    return pack_shards(list(index_shards(texts, shard_docs)), window)
+
+
+def _pack(window: int, shard_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by shard and id; a shard may span batches
-        held: list[pa.RecordBatch] = []
+        # rows come sorted by language and id; a language may span batches
+        lang, ids, shards = None, [], []
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
             cuts = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
             lo = 0
             for hi in cuts:
-                if held and key[lo] != held[-1].column(0)[0].as_py():
-                    yield _packed(held, window)
-                    held = []
-                held.append(batch.slice(lo, int(hi) - lo))
+                if hi == lo:
+                    continue
+                if ids and key[lo] != lang:
+                    yield from _packed(lang, ids, shards, window)
+                    ids, shards = [], []
+                lang = key[lo]
+                ids.append(batch.column(1).slice(lo, int(hi) - lo).to_numpy())
+                shards += index_shards(batch.column(2).slice(lo, int(hi) - lo), shard_docs)
                 lo = int(hi)
-        if held:
-            yield _packed(held, window)
+        if ids:
+            yield from _packed(lang, ids, shards, window)
 
     return run
 
 
-def _packed(held: list[pa.RecordBatch], window: int) -> pa.RecordBatch:
-    table = pa.Table.from_batches(held).combine_chunks()
-    shard = table.column(0)[0].as_py()
-    ids = table.column(1).to_numpy()
-    rows = pack_shard(ids, table.column(2).chunk(0), window)
-    number, slot, row, start, end, score = zip(*rows, strict=True) if rows else ((),) * 6
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([f"{shard}-{k}" for k in number], pa.string()), pa.array(slot, pa.int32()), pa.array(ids[np.array(row, np.int64)], pa.int64()),
-            pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(score, pa.float64()),
-        ],
-        names=["window_id", "slot", "doc_id", "start_word", "end_word", "score"],
-    )
+def _packed(lang: str, held: list[np.ndarray], shards: list[Shard], window: int) -> Iterator[pa.RecordBatch]:
+    ids = np.concatenate(held)
+    rows = pack_shards(shards, window)
+    for lo in range(0, len(rows), 10_000):
+        number, slot, row, start, end, score = zip(*rows[lo : lo + 10_000], strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([f"{lang}-{k}" for k in number], pa.string()), pa.array(slot, pa.int32()), pa.array(ids[np.array(row, np.int64)], pa.int64()),
+                pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(score, pa.float64()),
+            ],
+            names=["window_id", "slot", "doc_id", "start_word", "end_word", "score"],
+        )
 
 
 def retrieval_packing(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(window_id, slot, doc_id, start_word, end_word, score); slot 0 is the seed."""
+    """(window_id, slot, doc_id, start_word, end_word, score); slot 0 is the seed.  The result doesn't depend on shard_docs."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(lang.alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.ceil(F.count("*") / shard_docs).alias("n_shards")).select(F.col("lang").alias("of"), "n_shards")
-    shard = F.concat_ws("-", "lang", F.pmod(F.xxhash64("doc_id"), F.col("n_shards")).cast("string"))
-    # a few languages fit a broadcast; a table with very many is joined by shuffle
-    sizes = materialize(sizes, "packing-languages")
-    if sizes.count() <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    placed = rows.join(sizes, F.col("lang") == F.col("of")).select(shard.alias("shard"), "doc_id", "text")
-    sorted_ = placed.repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
-    return _dropping_repeats(sorted_).mapInArrow(_pack(window), PACKED)
+    sorted_ = rows.repartition("lang").sortWithinPartitions("lang", "doc_id", "text")
+    return _dropping_repeats(sorted_).mapInArrow(_pack(window, shard_docs), PACKED)
 
 
 def _dropping_repeats(rows: DataFrame) -> DataFrame:

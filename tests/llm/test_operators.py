@@ -155,6 +155,25 @@ def test_packing_is_lossless(documents):
         assert at == len(re.findall(r"[^ \t\n\r\f\x0b]+", r.text))
 
 
+def test_neighbours_of_all_shards(spark):
+    # pairs of near documents, most of them in different shards
+    rng = random.Random(6)
+    docs = []
+    for k in range(60):
+        own = [f"t{k}_{j}" for j in range(8)] + [f"c{rng.randrange(40)}" for _ in range(6)]
+        docs += [(k, own), (100 + k, rng.sample(own, 12) + [f"c{rng.randrange(40)}"])]
+    docs = [(i, w) for i, (_, w) in enumerate(sorted(docs))]
+    df = spark.createDataFrame([(i, "en", " ".join(w)) for i, w in docs], "doc_id long, lang string, text string")
+    want = pack_by_brute_force(docs, 30)
+    for shard_docs in (7, 10**6):
+        got = {}
+        for r in sorted(packing.retrieval_packing(df, 30, shard_docs).collect(), key=lambda r: (r.window_id, r.slot)):
+            got.setdefault(r.window_id, []).append((r.doc_id, r.start_word, r.end_word))
+        pairs = {tuple(x[0] for x in w[:2]) for w in got.values()}
+        assert np.mean([(k, 60 + k) in pairs for k in range(60)]) >= 0.9
+        assert sorted(got.values()) == want
+
+
 # substring dedup
 
 
