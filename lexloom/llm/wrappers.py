@@ -8,8 +8,8 @@ folded streams of a host are then aligned one after another: tags that match sta
 against text is a slot, and what only one side has is an optional group; this leaves no
 unions.  Every page of the host matches the wrapper, so each text falls into one slot.
 
-A slot that holds the same text on all pages of a host with two or more pages is part of the
-template; the others are fields.  The main text is what lies in the innermost element that
+A slot that holds one text, the same on all pages with text of a host, is part of the template if
+the host has at least two such pages that differ in their texts; the others are fields.  The main text is what lies in the innermost element that
 holds at least ``SHARE`` of the host's field characters, the page's head aside.
 
 Equal folded streams of a host are counted, not aligned again, so the work of inference grows with the
@@ -242,13 +242,17 @@ def _statistics(broadcast):
             extra = batch.column(3) if batch.num_columns > 3 else None
             for k, (url, source) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 host = host_of(url)
-                for slot, text in slots(held.wrapper(host, extra, k), fold(parse(source.as_py() or ""))):
-                    h = _hash(text)
+                found = list(slots(held.wrapper(host, extra, k), fold(parse(source.as_py() or ""))))
+                seen: set[str] = set()
+                # the whole page counts as slot ''
+                for slot, text in [*found, ("", json.dumps(found))] if found else ():
+                    h, first = _hash(text), slot not in seen
+                    seen.add(slot)
                     have = total.get((host, slot))
                     if have is None:
                         total[host, slot] = [h, h, 1, len(text)]
                     else:
-                        have[0], have[1], have[2], have[3] = min(have[0], h), max(have[1], h), have[2] + 1, have[3] + len(text)
+                        have[0], have[1], have[2], have[3] = min(have[0], h), max(have[1], h), have[2] + first, have[3] + len(text)
         if total:
             keys, values = zip(*total.items(), strict=True)
             host, slot = zip(*keys, strict=True)
@@ -312,9 +316,11 @@ def extract(pages: DataFrame) -> DataFrame:
         host = F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit("")))
         joined = rows.join(found.withColumnRenamed("host", "of"), host == F.col("of"))
         counted = joined.select("page_id", "url", "html", "stream").mapInArrow(_statistics(None), _STATS)
-    stats = counted.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
-    # one page alone can't show what is template
-    fields = materialize(stats.where("low < high OR n = 1").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("slot", "chars"))).alias("stats")), "html-fields")
+    stats = materialize(counted.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("chars").alias("chars")), "html-slots")
+    # one page alone, or with copies of itself, can't show what is template; copies have the same slots, so n needn't leave them out
+    whole = stats.where("slot = ''").select(F.col("host").alias("site"), (F.col("low") < F.col("high")).alias("differ"), F.col("n").alias("pages"))
+    slot_stats = stats.where("slot <> ''").join(whole, F.col("host") == F.col("site"))
+    fields = materialize(slot_stats.where("NOT (differ AND low = high AND n = pages)").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("slot", "chars"))).alias("stats")), "html-fields")
     if small:
         own = {r["host"]: [(x["slot"], x["chars"]) for x in r["stats"]] for r in fields.toLocalIterator()}
         return rows.mapInArrow(_extract(sc.broadcast({h: (s, own.get(h, [])) for h, s in by_host.items()})), schema)

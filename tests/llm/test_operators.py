@@ -349,6 +349,24 @@ def test_every_text_falls_into_a_slot(spark):
     assert np.mean([plain(articles[r.page_id]) == plain(r.text.replace("\n", " ")) or set(plain(articles[r.page_id]).split()) >= set(r.text.split()) for r in got]) > 0.8
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(k, f"http://{host}/{k}", html) for k, (host, html) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: (r.text, [x.text for x in r.fields]) for r in wrappers.extract(df).collect()}
+
+
+def test_copies_do_not_make_a_template(spark):
+    page = "<html><body><p>only page</p><ul><li>same<li>same</ul></body></html>"
+    rare = lambda k: "<div class=note>rare note</div>" if k < 2 else ""
+    many = [("c.example", f"<html><body><h1>Site</h1>{rare(k)}<p>text {k}</p></body></html>") for k in range(6)]
+    got = extracted(spark, [("a.example", page), ("a.example", page), ("b.example", page), ("a.example", ""), *many])
+    # copies of one page; one page with equal items
+    for k in (0, 1, 2):
+        assert got[k][1] == ["only page", "same", "same"] and set(got[k][0].split("\n")) <= set(got[k][1]) and got[k][0]
+    assert got[3] == ("", [])
+    # what all pages hold is template, a rare text equal on two pages isn't
+    assert [got[4 + k][1] for k in range(6)] == [["rare note", f"text {k}"] if k < 2 else [f"text {k}"] for k in range(6)]
+
+
 # embeddings
 
 
