@@ -10,7 +10,9 @@ unions.  Every page of the host matches the wrapper, so each text falls into one
 
 A slot that holds one text, the same on all pages with text of a host, is part of the template if
 the host has at least two such pages that differ in their texts; the others are fields.  The main text is what lies in the innermost element that
-holds at least ``SHARE`` of the host's field characters, the page's head aside.
+holds at least ``SHARE`` of the host's field characters, the page's head aside; where that element
+holds less than ``SHARE`` of a page's own field characters (another layout, a second column, many
+comments), the main text of the page is all of its fields, its head aside.
 
 Equal folded streams of a host are counted, not aligned again, so the work of inference grows with the
 variety of pages; alignment runs in two rounds, the first over parts of a host.
@@ -279,6 +281,15 @@ def main_container(fields: list[tuple[str, int]], share: float = SHARE) -> str:
         at = best
 
 
+def main_text(found: list[tuple[str, str]], at: str, share: float = SHARE) -> str:
+    """The main text of a page with these fields on a host with this container."""
+    body = [(s, t) for s, t in found if ":head" not in s]
+    inside = [t for s, t in body if s.startswith(at + "/")]
+    if sum(map(len, inside)) < share * sum(len(t) for _, t in body):
+        inside = [t for _, t in body]
+    return "\n".join(inside)
+
+
 def _extract(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held(broadcast)
@@ -295,7 +306,7 @@ def _extract(broadcast):
                 found = [(s, t) for s, t in slots(held.wrapper(host, extra, k), fold(parse(source.as_py() or ""))) if s in slots_]
                 hosts.append(host)
                 fields.append([{"slot": s, "text": t} for s, t in found])
-                texts.append("\n".join(t for s, t in found if s.startswith(at + "/") and ":head" not in s))
+                texts.append(main_text(found, at))
             kind = pa.list_(pa.struct([("slot", pa.string()), ("text", pa.string())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(fields, kind)], names=["page_id", "host", "text", "fields"])
 

@@ -367,6 +367,21 @@ def test_copies_do_not_make_a_template(spark):
     assert [got[4 + k][1] for k in range(6)] == [["rare note", f"text {k}"] if k < 2 else [f"text {k}"] for k in range(6)]
 
 
+def test_two_layouts_on_one_host(spark):
+    words = lambda k: " ".join(f"word{k}_{j}" for j in range(40))
+    article = [f"<html><body><h1>Site</h1><article><h2>title {k}</h2><p>{words(k)}</p></article></body></html>" for k in range(8)]
+    thread = [f"<html><body><h1>Site</h1><div class=thread><p>post {k}</p><p>answer {k}</p></div></body></html>" for k in range(8, 10)]
+    # more beside the article than in it
+    column = [f"<html><body><h1>Site</h1><article><h2>title {k}</h2><p>short {k}</p></article><div class=comments><p>{words(k)}</p></div></body></html>" for k in range(10, 12)]
+    got = extracted(spark, [("a.example", p) for p in article + thread + column])
+    for k in range(8):
+        assert words(k) in got[k][0] and "Site" not in got[k][0]
+    for k in range(8, 10):
+        assert got[k][0] == f"post {k}\nanswer {k}"
+    for k in range(10, 12):
+        assert got[k][0] == f"title {k}\nshort {k}\n{words(k)}"
+
+
 # embeddings
 
 
