@@ -1,17 +1,20 @@
 """Personal data: detection and keyed, type-consistent surrogates.
 
 Entities are e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers
-(with a valid check digit), IBANs (valid), US social security numbers, and names of people after a title
-(Mr, Mrs, Ms, Señor, Monsieur, Frau ...).  A surrogate has the type, the length and the
+(with a valid check digit), IBANs (valid), US social security numbers, and names of people, in any script: one or
+two names after a title (Mr, Mrs, Ms, Señor, Monsieur, Frau ...), and all other mentions of these full names and
+surnames in the same document.  A surrogate has the type, the length and the
 punctuation of what it replaces: digits become digits and letters become letters of the same case and
 script; phone numbers keep their country code, cards and IBANs get valid check digits, addresses
 keep their top-level domain, given names are replaced by given names of the same gender
 and script.  It depends on a secret key, the type and the entity alone (through HMAC), so
-one entity has the same surrogate in all documents.
+one entity has the same surrogate in all documents.  A full name is drawn by parts: its surname is the
+surname's own surrogate, wherever that stands alone, and its given name depends on the full name.
 
 Collision checks: entities of the whole corpus are collected; where two have the same
 surrogate, or a surrogate is itself an entity of the corpus, the later one (by its text) is
-drawn again with the next attempt number, round after round until no clash is left.  Only
+drawn again with the next attempt number, round after round until no clash is left (names give up
+their length, and given names their list, after some attempts, as short ones could run out).  Only
 these exceptions travel back to the documents, as all others follow from the key.
 
 Nulls: a null text stays null; rows without doc_id keep their row.  Empty texts stay empty.
@@ -25,6 +28,7 @@ import hashlib
 import hmac
 import re
 import string
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -45,9 +49,19 @@ _TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mademoiselle": "f", "Señora": "f", "Sra": "f", "Señorita": "f", "Dr": "n", "Prof": "n",
 }
-_UP = "A-ZÀ-ÖØ-Þ"
-_LOW = "a-zà-öø-ÿ"
-_NAME = f"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
+
+
+def _class(*kinds: str) -> str:
+    """The characters of these Unicode categories, for use in brackets."""
+    held = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in kinds]
+    starts = [c for k, c in enumerate(held) if k == 0 or held[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(held) if k + 1 == len(held) or held[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
+_UP = _class("Lu", "Lt", "Lo")
+_LETTER = _class("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc")
+_NAME = f"[{_UP}]['’]?[{_LETTER}]+(?:['’-](?!s(?![{_LETTER}]))[{_LETTER}]+)*(?![{_LETTER}])"
 
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9]@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
@@ -60,6 +74,8 @@ PATTERNS = {
 _CODED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in {k: (v.replace(r"\1", "(?P=gap)").replace("([ -]?)", "(?P<gap>[ -]?)")) for k, v in PATTERNS.items()}.items()))
 _TITLED = re.compile(r"\b(?P<title>" + "|".join(sorted(_TITLES, key=len, reverse=True)) + rf")\.? (?P<name>{_NAME}(?: {_NAME})?)")
 _HINT = re.compile("[0-9@]")
+#: Attempts after which a given name isn't taken from the lists, and after each of which a name gets one letter more.
+_LISTED, _LONGER = 16, 32
 
 _DRAWN = "kind string, entity string, gender string, mixed boolean, attempt int, drawn string"
 Entity = tuple[int, int, str, str]
@@ -90,9 +106,17 @@ def find_entities(text: str) -> list[Entity]:
             if kind == "iban" and _iban_rest(plain) != 1:
                 continue
             found.append((m.start(), m.end(), kind, ""))
+    names: dict[str, str] = {}
     for m in _TITLED.finditer(text) if _may_title(text) else ():
-        found.append((*m.span("name"), "person", _TITLES[m.group("title")]))
-    found.sort()
+        gender = _TITLES[m.group("title")]
+        names[m.group("name")] = min(gender, names.get(m.group("name"), gender))
+    if names:
+        # titled or not, by full name or by surname
+        known = {n.split(" ")[-1]: "" for n in names} | {n: g for n, g in names.items() if " " in n}
+        mention = "|".join(re.escape(n) for n in sorted(known, key=lambda n: (-len(n), n)))
+        for m in re.finditer(f"(?<![{_LETTER}])(?:{mention})(?![{_LETTER}])", text):
+            found.append((*m.span(), "person" if " " in m.group() else "surname", known[m.group()]))
+    found.sort(key=lambda e: (e[0], -e[1]))
     out: list[Entity] = []
     for e in found:
         if not out or e[0] >= out[-1][1]:
@@ -167,16 +191,15 @@ def surrogate(key: str, kind: str, entity: str, gender: str = "", attempt: int =
         first = entity[keep : keep + 1]
         return entity[:keep] + (str(1 + draw.below(9)) if first not in ("", "0") else first) + "".join(map(draw.like, entity[keep + 1 :]))
     if kind == "person":
-        parts = entity.split(" ")
-        latin = all(unicodedata.name(c, "").startswith("LATIN") for c in entity if c.isalpha())
-        out = []
-        for k, p in enumerate(parts):
-            if latin and len(parts) > 1 and k == 0:
-                names = FEMALE if gender == "f" else MALE if gender == "m" else FEMALE + MALE
-                out.append(names[draw.below(len(names))])
-            else:
-                out.append("".join(map(draw.like, p)))
-        return " ".join(out)
+        # the surname stays here, so that only equal given names of one surname clash
+        given, surname = entity.split(" ")
+        latin = all(unicodedata.name(c, "").startswith("LATIN") for c in given if c.isalpha())
+        if latin and attempt < _LISTED:
+            names = FEMALE if gender == "f" else MALE if gender == "m" else FEMALE + MALE
+            return f"{names[draw.below(len(names))]} {surname}"
+        return f"{''.join(map(draw.like, given + given[-1] * (attempt // _LONGER)))} {surname}"
+    if kind == "surname":
+        return "".join(map(draw.like, entity + entity[-1] * (attempt // _LONGER)))
     return "".join(map(draw.like, entity))
 
 
@@ -190,6 +213,11 @@ def shaped(kind: str, value: str, replacement: str) -> str:
     return replacement
 
 
+def parts(kind: str, entity: str, gender: str) -> list[tuple[str, str, str]]:
+    """(type, entity, gender) of what is drawn for a canonical entity."""
+    return [(kind, entity, gender)] + ([("surname", entity.split(" ")[1], "")] if kind == "person" else [])
+
+
 def replace(text: str, key: str, odd: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, int]:
     """The text with surrogates, and how many entities it had; odd: (gender, attempt) of exceptions."""
     out, at = [], 0
@@ -197,7 +225,9 @@ def replace(text: str, key: str, odd: dict[tuple[str, str], tuple[str, int]]) ->
     for start, end, kind, gender in found:
         value = text[start:end]
         entity = canonical(kind, value)
-        out += [text[at:start], shaped(kind, value, surrogate(key, kind, entity, *odd.get((kind, entity), (gender, 0))))]
+        drawn = [surrogate(key, k, e, *odd.get((k, e), (g, 0))) for k, e, g in parts(kind, entity, gender)]
+        new = f"{drawn[0].split(' ')[0]} {drawn[1]}" if kind == "person" else drawn[0]
+        out += [text[at:start], shaped(kind, value, new)]
         at = end
     return ("".join([*out, text[at:]]), len(found)) if found else (text, 0)
 
@@ -209,7 +239,7 @@ def _collect(key: str):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 value = text.as_py()
                 for start, end, kind, gender in find_entities(value) if value else ():
-                    rows.add((doc, kind, canonical(kind, value[start:end]), gender))
+                    rows.update((doc, *p) for p in parts(kind, canonical(kind, value[start:end]), gender))
             if rows:
                 docs, kinds, entities, genders = zip(*rows, strict=True)
                 drawn = [surrogate(key, k, e, g) for _, k, e, g in rows]

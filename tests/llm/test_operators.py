@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -443,6 +444,33 @@ def test_genders_agree(spark):
     assert got[1].split()[1] in pii.FEMALE
 
 
+def test_names_corefer(spark):
+    docs = [(1, "Mrs Anna Smith rang. Anna Smith and Smith left; Smith's car and Smithson stayed."), (2, "Mr Smith met Mr John Smith."), (3, "Smith is untitled here.")]
+    got = {r.doc_id: (r.text, r.n_replaced) for r in pii.replace_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mrs (\w+) (\w{5}) rang\. (\w+) (\w{5}) and (\w{5}) left; (\w{5})'s car and Smithson stayed\.", got[1][0])
+    assert m and m.group(1) == m.group(3) in pii.FEMALE and len({m.group(k) for k in (2, 4, 5, 6)}) == 1 and m.group(2) != "Smith"
+    other = re.fullmatch(r"Mr (\w{5}) met Mr (\w+) (\w{5})\.", got[2][0])
+    assert other and other.group(1) == other.group(3) == m.group(2) and other.group(2) in pii.MALE
+    assert got[1][1] == 4 and got[2][1] == 2 and got[3] == (docs[2][1], 0)
+
+
+def test_names_of_any_script():
+    for name, script in (("Dvořák", "LATIN"), ("Šimek", "LATIN"), ("McDonald", "LATIN"), ("O'Brien", "LATIN"), ("Иванов", "CYRILLIC"), ("Παππάς", "GREEK")):
+        text = f"Mr {name}, then {name} again."
+        (a, b, kind, _), second = pii.find_entities(text)
+        assert (text[a:b], kind) == (name, "surname") and text[second[0] : second[1]] == name
+        new, _ = pii.replace(text, "k", {})
+        one, two = re.fullmatch(r"Mr (\S+), then (\S+) again\.", new).groups()
+        assert one == two != name and len(one) == len(name)
+        assert all(unicodedata.name(c).startswith(script) for c in one if c.isalpha())
+
+
+def test_many_given_names_of_one_surname(spark):
+    names = [f"{a}{b}" for a in ("Ab", "Ec", "Id", "Of", "Ug") for b in "abcdefghij"]
+    docs = spark.createDataFrame([(k, f"Mr {n} Smith") for k, n in enumerate(names)], "doc_id long, text string")
+    assert len({r.text for r in pii.replace_personal_data(docs).collect()}) == len(names)
+
+
 # secrets
 
 
