@@ -498,3 +498,15 @@ def test_rules():
     assert found('api_key: "aaaaaaaaaaaaaaaaaaaaaaa"') == []
     assert found("TOKEN = 0123456789abcdef01!!") == ["assigned-credential"]
     assert found("the token of appreciation") == []
+
+
+def test_prefixed_names(spark):
+    value = "abcdefgh12345678ABCD"
+    lines = [f"aws_secret_access_key = {value}", f"AWS_SECRET_ACCESS_KEY={value}", f'DB_PASSWORD="{value}"', f"auth_token: {value}", f"client_secret={value}", f'accessToken="{value}"', f'{{"my_api_key": "{value}"}}']
+    for line in lines:
+        assert [(x[0], x[3]) for x in secrets.find_secrets(line, secrets.RULES)] == [("named-credential", 1)], line
+    assert [x[0] for x in secrets.find_secrets(f"token = {value}", secrets.RULES)] == ["assigned-credential"]
+    assert secrets.find_secrets("auth_token: abcdefghijklmnopqrst", secrets.RULES) == []
+    docs = spark.createDataFrame([*enumerate(lines), (99, "the tokens of appreciation")], "doc_id long, text string")
+    assert {r.doc_id for r in secrets.secret_scan(docs).collect()} == set(range(len(lines)))
+    assert [r.doc_id for r in secrets.drop_secrets(docs).collect()] == [99]
