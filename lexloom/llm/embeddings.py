@@ -9,8 +9,8 @@ axes first; what the remaining axes can still add is at most the product of the
 norms, and a pair is dropped as soon as that can't reach the threshold.
 
 Nulls: rows without id or vector, with a null or non-finite element, or of length zero are
-left out; so are vectors that don't have the table's most common number of elements (ties:
-more).  Repeated rows are partners only of rows with another id, each for itself.  Only
+left out.  Vectors are compared with those of the same number of elements, each width by
+itself.  Repeated rows are partners only of rows with another id, each for itself.  Only
 ``vec_id`` and ``embedding`` are read, so other columns never clash.  Ties: the smallest id
 is the first.  An empty table gives an empty result.
 """
@@ -18,6 +18,7 @@ is the first.  An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -154,15 +155,19 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile:
 
     ``first_id`` is the smallest partner; a vector stays if that is larger than its own id.
     """
-    spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     rows = rows.where(F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: x != 0))
-    common = rows.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
-    if common is None:
-        return spark.createDataFrame([], "vec_id long, first_id long, n_partners long, keep boolean")
-    width, n = common
-    rows = rows.where(F.size("embedding") == width)
+    widths = rows.groupBy(F.size("embedding").alias("width")).count().orderBy("width").collect()
+    if not widths:
+        return vectors.sparkSession.createDataFrame([], "vec_id long, first_id long, n_partners long, keep boolean")
+    found = reduce(DataFrame.union, [_partners_of_width(rows.where(F.size("embedding") == width), width, n, threshold, tile) for width, n in widths])
+    return found.groupBy("vec_id").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n_partners")).withColumn("keep", F.col("first_id") > F.col("vec_id"))
+
+
+def _partners_of_width(rows: DataFrame, width: int, n: int, threshold: float, tile: int) -> DataFrame:
+    """``PARTNERS`` among n vectors of one width."""
+    spark = rows.sparkSession
     moments = np.zeros((width, width))
     for i, j, v in rows.mapInArrow(_moments(width), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
         moments[i, j] = moments[j, i] = v
@@ -191,8 +196,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile:
     met = a.join(b, "cell").where((F.col("a_tile") < F.col("b_tile")) & (apart <= reach * reach)).select(F.col("a_tile").alias("home"), F.col("b_tile").alias("of")).distinct()
     guests = placed.join(met, placed["tile"] == met["of"]).select("home", F.lit(True).alias("guest"), "vec_id", "v")
     both = placed.select(F.col("tile").alias("home"), F.lit(False).alias("guest"), "vec_id", "v").union(guests)
-    found = both.repartition("home").sortWithinPartitions("home", "guest", "vec_id").mapInArrow(_compare(threshold, width), PARTNERS)
-    return found.groupBy("vec_id").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n_partners")).withColumn("keep", F.col("first_id") > F.col("vec_id"))
+    return both.repartition("home").sortWithinPartitions("home", "guest", "vec_id").mapInArrow(_compare(threshold, width), PARTNERS)
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

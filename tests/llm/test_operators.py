@@ -401,6 +401,12 @@ def test_near_vectors_against_all_pairs(spark):
         assert {(r.vec_id, r.first_id, r.n_partners) for r in embeddings.embedding_near_dedup(docs, 0.9, tile).collect()} == want
 
 
+def test_near_vectors_of_every_width(spark):
+    rows = [(k, [1.0, 0.1 * k, 0.0]) for k in range(3)] + [(10, [0.0, 1.0]), (11, [0.01, 1.0]), (12, [1.0, 0.0])]
+    got = {(r.vec_id, r.first_id, r.n_partners, r.keep) for r in embeddings.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {(0, 1, 2, True), (1, 0, 2, False), (2, 0, 2, False), (10, 11, 1, True), (11, 10, 1, False)}
+
+
 # personal data
 
 
