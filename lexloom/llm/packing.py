@@ -1,245 +1,368 @@
 """Retrieval packing: windows of ``WINDOW`` words filled with lexically near documents.
 
-Each language has one BM25 inverted index over whole texts (lower-cased white-space words).  It
-is built in shards of ``SHARD_DOCS`` documents, which are merged before anything is scored:
-document frequencies and the average length are those of the whole language, and a seed meets
-the documents of all shards.  Documents are seeds in order of doc_id unless they are
-used already.  A seed opens a window; its unused neighbours come in order of
-their BM25 score for the whole seed as query (ties: doc_id) and each one that fits goes into
-the window, until the window is full or no neighbour with a score above zero fits.  A document
-longer than a window first fills windows of its own; what is left of it is packed like
-any document.  So every word of every document lies in exactly one window.
-
-The search is exact: terms that one document alone holds can't add to a
-neighbour's score, and terms in half of the language or more weigh nothing (idf is floored at
-zero), so leaving both out of the index changes no score.  What a seed takes depends on all seeds
-before it, so one task packs a language and holds its index (not its texts) in memory; its work
-grows with the square of the language's documents.
+Seeds are the documents whose doc_id is divisible by ``EVERY``.  A seed's text is a query against
+all other documents of its language; they are ranked by BM25 (lower-cased white-space words, statistics of the whole
+language), exactly: every document meets every seed of its language.  A document is taken by one seed, for all others
+it is used: by the one where its score is the largest share of what that seed can score (the root of the seed's score for
+itself, so that long seeds don't take everything; ties: the smallest seed).  A seed opens a
+window; its documents come in order of score (ties: doc_id) and each one that fits goes into the window.  Those that
+don't fit open the seed's next windows in the same way.  Documents that share no weighted term
+with any seed fill windows among themselves.  A document longer than a window first fills
+windows of its own; what is left of it is packed like any document.  So every word of
+every document lies in exactly one window.
+
+How it runs: the inverted index is over the seeds, in shards of at most ``SHARD_BYTES`` of text; a shard is broadcast and
+the documents stream over it, once for the document counts of its terms and once for the scores, so a score costs the same
+whether the seed or the document is looked up, and texts never move.  Terms that many seeds of a shard hold are summed up by a matrix
+product, others through their postings.  Scores are whole numbers of 1/``SCALE``, so they don't depend on the order of sums.  Only ids,
+sizes and scores are shuffled.  Work grows with seeds times documents; equal seeds are scored once and share what
+they take by a hash.  A seed with more than ``GROUP`` documents is split by a hash of their ids, the seed stays in the first part.
 
 Nulls: rows without doc_id or text, and texts without words, fill no window.  Rows of one
-doc_id with equal text count once; with different texts each is packed.  A null language is a
-language of its own.  Only ``doc_id``, ``text`` and ``lang`` are read, so other columns never
-clash.  An empty table gives an empty result.
+doc_id, text and language count once (each counts in the statistics); with different texts each is packed.  A null
+language is a language of its own, other than ''.  Very long texts are cut into windows, whole.  Ties are settled as
+stated.  Only ``doc_id``, ``text`` and ``lang`` are read, so other columns never clash.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectext import Words, chunks
+from lexloom.storage import materialize
+
+from .vectext import Words, chunks, mix, ranges
 
 WINDOW = 2048
-SHARD_DOCS = 2000
+EVERY = 100
+#: Text of the seeds of one broadcast shard; more seeds take several passes.
+SHARD_BYTES = 48 << 20
+#: Documents of one seed that are ranked in one task.
+GROUP = 4096
 K1, B = 1.2, 0.75
+SCALE = 256
 
 PACKED = "window_id string, slot int, doc_id long, start_word long, end_word long, score double"
+TAKEN = "doc_id long, h long, lang long, n_words long, seed_id long, seed_h long, score long, share double"
+
+#: A term that this share of a shard's seeds hold goes through the matrix product.
+_DENSE = 1 / 12
+_BITS = 22
+_CELLS = 1 << 21
+_POSTINGS = 1 << 22
+
+
+def term_keys(data: np.ndarray, offs: np.ndarray, lang: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of a chunk and a key of each, of its language."""
+    words = Words(data, offs, lower=True)
+    return words, words.hashes() ^ mix(lang.view(np.uint64).copy())[words.row]
+
+
+class Vocabulary:
+    """Sorted term keys, with a bitmap before the search."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self._bits = np.zeros(1 << _BITS, bool)
+        self._bits[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+
+    def find(self, words: Words, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place, count) of the known terms of each row, by row and place."""
+        at = np.flatnonzero(self._bits[(keys >> np.uint64(64 - _BITS)).astype(np.int64)])
+        place = np.searchsorted(self.keys, keys[at])
+        place[place == len(self.keys)] = 0
+        ok = self.keys[place] == keys[at] if len(self.keys) else np.zeros(len(at), bool)
+        row, place = words.row[at[ok]], place[ok]
+        both, tf = np.unique(row * max(len(self.keys), 1) + place, return_counts=True)
+        return both // max(len(self.keys), 1), both % max(len(self.keys), 1), tf
+
+
+@dataclass
+class Block:
+    """Index of the different seeds of one language of a shard."""
+
+    #: seeds of each text, (doc_id, h) in order, one text after another
+    ids: np.ndarray
+    hashes: np.ndarray
+    bounds: np.ndarray
+    inverse: np.ndarray
+    average: float
+    #: place of a term to its number among the dense ones; -1: through postings
+    dense: np.ndarray
+    first: np.ndarray
+    holders: np.ndarray
+    presence: np.ndarray
+
+
+@dataclass
+class Shard:
+    vocabulary: Vocabulary
+    idf: np.ndarray
+    blocks: dict[int, Block]
+    every: int
+
+
+def impacts(idf: np.ndarray, tf: np.ndarray, length: np.ndarray, average: float) -> np.ndarray:
+    """BM25 weights of terms in documents, in whole steps."""
+    norm = K1 * (1 - B + B * length / max(average, 1e-9))
+    return np.floor(SCALE * idf * tf * (K1 + 1) / (tf + norm) + 0.5)
+
+
+def seed_terms(seeds: list[tuple[int, int, int, str]]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Vocabulary of (lang, doc_id, h, text) rows, the (place, count) terms of each, and their lengths."""
+    found, sizes = [], []
+    for lo, data, offs in chunks(pa.array([s[3] for s in seeds], pa.string())):
+        lang = np.array([s[0] for s in seeds[lo : lo + len(offs) - 1]], np.int64)
+        words, keys = term_keys(data, offs, lang)
+        sizes += np.diff(words.bounds).tolist()
+        found += [np.unique(keys[a:b], return_counts=True) for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
+    vocabulary = np.unique(np.concatenate([k for k, _ in found])) if found else np.zeros(0, np.uint64)
+    return vocabulary, [(np.searchsorted(vocabulary, k), n) for k, n in found], np.array(sizes, np.int64)
+
+
+def index_seeds(seeds: list[tuple[int, int, int, str]], terms: tuple, df: np.ndarray, totals: dict[int, tuple[int, int]], every: int) -> Shard:
+    """Index of (lang, doc_id, h, text) rows, in order; df by place; totals: documents and words by language."""
+    vocabulary, own, sizes = terms
+    n_docs = np.zeros(len(vocabulary), np.int64)
+    by_lang: dict[int, dict[int, list[int]]] = {}
+    for k, (lang, _, h, _) in enumerate(seeds):
+        n_docs[own[k][0]] = totals[lang][0]
+        by_lang.setdefault(lang, {}).setdefault(h, []).append(k)
+    idf = np.maximum(0.0, np.log((n_docs - df + 0.5) / (df + 0.5)))
+    blocks = {}
+    for lang, same in by_lang.items():
+        members = list(same.values())
+        average = totals[lang][1] / totals[lang][0]
+        place, holder, best = [], [], []
+        for r, ks in enumerate(members):
+            p, n = own[ks[0]]
+            p, n = p[idf[p] > 0], n[idf[p] > 0]
+            place.append(p)
+            holder.append(np.full(len(p), r))
+            best.append(float(impacts(idf[p], n, sizes[ks[0]], average).sum()))
+        p, r = np.concatenate(place), np.concatenate(holder)
+        order = np.lexsort((r, p))
+        p, r = p[order], r[order].astype(np.int32)
+        first = np.searchsorted(p, np.arange(len(vocabulary) + 1))
+        count = np.diff(first)
+        often = np.flatnonzero((count >= _DENSE * len(members)) & (count > 0))
+        dense = np.full(len(vocabulary), -1, np.int32)
+        dense[often] = np.arange(len(often))
+        presence = np.zeros((len(often), len(members)), np.float32)
+        hit = dense[p] >= 0
+        presence[dense[p[hit]], r[hit]] = 1
+        flat = [k for ks in members for k in ks]
+        blocks[lang] = Block(
+            np.array([seeds[k][1] for k in flat], np.int64), np.array([seeds[k][2] for k in flat], np.int64), np.append(0, np.cumsum([len(ks) for ks in members])),
+            1 / np.sqrt(np.maximum(best, 1.0)), average, dense, first, r, presence,
+        )
+    return Shard(Vocabulary(vocabulary), idf, blocks, every)
+
+
+def best_seeds(block: Block, row: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n rows: the text of the seed that takes it (-1: none), its score, and that as a share."""
+    width = len(block.inverse)
+    dense = block.dense[place]
+    postings = np.where(dense >= 0, 0, block.first[place + 1] - block.first[place])
+    work = np.bincount(row, postings + 1, minlength=n).cumsum()
+    bounds = np.searchsorted(row, np.arange(n + 1))
+    best, score, share = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
+    step, lo = max(1, _CELLS // width), 0
+    while lo < n:
+        before = work[lo - 1] if lo else 0
+        hi = min(lo + step, max(lo + 1, int(np.searchsorted(work, before + _POSTINGS, "right"))), n)
+        part = slice(bounds[lo], bounds[hi])
+        r, p, w, d, m = row[part] - lo, place[part], weight[part], dense[part], postings[part]
+        total = np.bincount(np.repeat(r, m) * width + block.holders[ranges(block.first[p], m)], np.repeat(w, m), minlength=(hi - lo) * width).reshape(hi - lo, width).astype(float)
+        if len(block.presence):
+            own = np.zeros((hi - lo, len(block.presence)))
+            often = d >= 0
+            own[r[often], d[often]] = w[often]
+            # sums of whole numbers below 2**24 are exact in single precision
+            total += own.astype(np.float32) @ block.presence if own.sum(1).max() < 1 << 24 else own @ block.presence.astype(np.float64)
+        shares = total * block.inverse
+        top = shares.argmax(1)
+        at = np.arange(hi - lo)
+        found = total[at, top] > 0
+        best[lo:hi][found] = top[found]
+        score[lo:hi][found] = total[at, top][found]
+        share[lo:hi][found] = shares[at, top][found]
+        lo = hi
+    return best, score, share
+
+
+def _count(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = vocabulary.value
+        df = np.zeros(len(held.keys), np.int64)
+        totals: dict[int, list[int]] = {}
+        for batch in batches:
+            lang = batch.column(2).to_numpy()
+            for lo, data, offs in chunks(batch.column(3)):
+                own = lang[lo : lo + len(offs) - 1]
+                words, keys = term_keys(data, offs, own)
+                df += np.bincount(held.find(words, keys)[1], minlength=len(df))
+                sizes = np.diff(words.bounds)
+                for code in np.unique(own[sizes > 0]):
+                    mine = sizes[own == code]
+                    have = totals.setdefault(int(code), [0, 0])
+                    have[0] += int((mine > 0).sum())
+                    have[1] += int(mine.sum())
+        at = np.flatnonzero(df)
+        kind = np.concatenate([np.zeros(len(at)), np.ones(len(totals)), np.full(len(totals), 2)]).astype(np.int32)
+        key = np.concatenate([at, list(totals), list(totals)]).astype(np.int64)
+        n = np.concatenate([df[at], [v[0] for v in totals.values()], [v[1] for v in totals.values()]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
 
+    return run
 
-#: Neighbours are ranked so many at a time, until a window is full.
-_STEP = 256
-#: Postings of used documents are taken out so many at a time.
-_BLOCK = 1 << 20
-
-Shard = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-
-
-def index_shards(texts: pa.Array, shard_docs: int = SHARD_DOCS) -> Iterator[Shard]:
-    """Shards of an index: lengths, terms, their document counts, and of each posting, by document: row, place of its term, count."""
-    for at in range(0, len(texts), shard_docs):
-        for _, data, offs in chunks(texts.slice(at, shard_docs)):
-            words = Words(data, offs, lower=True)
-            terms, place = np.unique(words.hashes(), return_inverse=True)
-            width = max(len(terms), 1)
-            posting, tf = np.unique(words.row * width + place, return_counts=True)
-            row, place = posting // width, posting % width
-            yield np.diff(words.bounds), terms, np.bincount(place, minlength=len(terms)), _small(row), _small(place), _small(tf)
 
+def _take(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = held.value
+        for batch in batches:
+            ids, hashes, lang = (batch.column(c).to_numpy() for c in range(3))
+            for lo, data, offs in chunks(batch.column(3)):
+                hi = lo + len(offs) - 1
+                own = lang[lo:hi]
+                words, keys = term_keys(data, offs, own)
+                sizes = np.diff(words.bounds)
+                row, place, tf = shard.vocabulary.find(words, keys)
+                seed, seed_h, score, share = np.zeros(hi - lo, np.int64), np.zeros(hi - lo, np.int64), np.zeros(hi - lo), np.full(hi - lo, -1.0)
+                is_seed = (ids[lo:hi] % shard.every == 0) & (sizes > 0)
+                for code in np.unique(own).tolist():
+                    block = shard.blocks.get(code)
+                    if block is None:
+                        continue
+                    which = np.flatnonzero((own == code) & (sizes > 0) & ~is_seed)
+                    number = np.full(hi - lo, -1)
+                    number[which] = np.arange(len(which))
+                    mine = (number[row] >= 0) & (shard.idf[place] > 0)
+                    weight = impacts(shard.idf[place[mine]], tf[mine], sizes[row[mine]], block.average)
+                    best, points, part = best_seeds(block, number[row[mine]], place[mine], weight, len(which))
+                    found = best >= 0
+                    which, best = which[found], best[found]
+                    # seeds with equal texts share what they take
+                    member = block.bounds[best] + (mix((ids[lo:hi][which] ^ hashes[lo:hi][which]).view(np.uint64)) % np.diff(block.bounds)[best].astype(np.uint64)).astype(np.int64)
+                    seed[which], seed_h[which], score[which], share[which] = block.ids[member], block.hashes[member], points[found], part[found]
+                seed[is_seed], seed_h[is_seed], share[is_seed] = ids[lo:hi][is_seed], hashes[lo:hi][is_seed], np.inf
+                ok = sizes > 0
+                none = ~(share[ok] > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[lo:hi][ok]), pa.array(hashes[lo:hi][ok]), pa.array(own[ok]), pa.array(sizes[ok].astype(np.int64)), pa.array(seed[ok], mask=none), pa.array(seed_h[ok], mask=none),
+                        pa.array(score[ok].astype(np.int64)), pa.array(share[ok]),
+                    ],
+                    names=["doc_id", "h", "lang", "n_words", "seed_id", "seed_h", "score", "share"],
+                )
 
-def _small(numbers: np.ndarray) -> np.ndarray:
-    return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 1 << 16 else np.int64)
+    return run
 
 
-def merge_shards(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, and BM25 postings both ways: (doc bounds, terms), (term bounds, docs, weights).  Empties the list."""
-    length = np.concatenate([s[0] for s in shards])
-    n = len(length)
-    vocabulary = np.unique(np.concatenate([s[1] for s in shards]))
-    df = np.zeros(len(vocabulary), np.int64)
-    for s in shards:
-        df[np.searchsorted(vocabulary, s[1])] += s[2]
-    idf = np.log((n - df + 0.5) / (df + 0.5))
-    useful = (df > 1) & (idf > 0)
-    number = np.cumsum(useful, dtype=np.int32) - np.int32(1)
-    df, idf = df[useful], idf[useful]
-    average = length.mean() if n else 1.0
-    norm = K1 * (1 - B + B * length / max(average, 1e-9))
-    bounds = np.append(0, np.cumsum(df))
-    terms, docs, weights = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.int32), np.empty(bounds[-1])
-    per_doc, free = np.zeros(n, np.int64), bounds[:-1].copy()
-    at = lo = 0
-    # a shard goes as soon as its postings are placed, so that little is held twice
-    shards.reverse()
-    while shards:
-        own, words, _, row, place, tf = shards.pop()
-        where = np.searchsorted(vocabulary, words)
-        keep = useful[where][place]
-        row, term, tf = row[keep] + np.int64(lo), number[where][place[keep]], tf[keep]
-        terms[at : at + len(term)] = term
-        at += len(term)
-        per_doc[lo : lo + len(own)] = np.bincount(row - lo, minlength=len(own))
-        lo += len(own)
-        order = np.argsort(term, kind="stable")
-        row, term, tf = row[order], term[order], tf[order]
-        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        run = np.diff(np.append(first, len(term)))
-        to = np.repeat(free[term[first]] - first, run) + np.arange(len(term))
-        free[term[first]] += run
-        docs[to] = row
-        weights[to] = idf[term] * tf * (K1 + 1) / (tf + norm[row])
-    return length, np.append(0, np.cumsum(per_doc)), terms, bounds, docs, weights
-
-
-def pack_shards(shards: list[Shard], window: int = WINDOW) -> list[tuple[int, int, int, int, int, float]]:
-    """(window, slot, row, start, end, score) of the documents of all shards, whose rows are in order of their ids."""
-    length, doc_bounds, doc_terms, bounds, docs, weights = merge_shards(shards)
-    out, count = [], 0
-    rest = length.copy()
-    for r in np.flatnonzero(length >= window):
-        for k in range(int(length[r]) // window):
-            out.append((count, 0, int(r), k * window, (k + 1) * window, 0.0))
+def fill_windows(sizes: list[int], window: int) -> list[tuple[int, int, int, int, int]]:
+    """(window, slot, row, start, end) of rows in order of rank."""
+    out, count, pending = [], 0, []
+    for r, n in enumerate(sizes):
+        for k in range(n // window):
+            out.append((count, 0, r, k * window, (k + 1) * window))
             count += 1
-        rest[r] = length[r] % window
-    unused = rest > 0
-    smallest = int(rest[unused].min()) if unused.any() else 0
-    left = int(unused.sum())
-    # postings of used documents go as soon as these are a quarter
-    alive, alive_rest = np.arange(len(length)), rest
-    for seed in range(len(length)):
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        left -= 1
-        out.append((count, 0, seed, int(length[seed] - rest[seed]), int(length[seed]), 0.0))
-        space, slot = window - int(rest[seed]), 1
-        if space >= smallest:
-            own = doc_terms[doc_bounds[seed] : doc_bounds[seed + 1]]
-            at = list(zip(bounds[own].tolist(), bounds[own + 1].tolist(), strict=True))
-            score = np.zeros(len(alive))
-            if at:
-                score = np.bincount(np.concatenate([docs[a:b] for a, b in at]), np.concatenate([weights[a:b] for a, b in at]), minlength=len(alive))
-            near = np.flatnonzero(unused[alive] & (score > 0) & (alive_rest <= space))
-            # sums of the same terms can differ in their last bits by the order of rows
-            score = np.round(score[near], 6)
-            while len(near) and space >= smallest:
-                best = np.ones(len(near), bool)
-                if len(near) > _STEP:
-                    best = score >= np.partition(score, len(near) - _STEP)[len(near) - _STEP]
-                now = np.flatnonzero(best)
-                now = now[np.lexsort((now, -score[now]))]
-                for r, s in zip(alive[near[now]].tolist(), score[now].tolist(), strict=True):
-                    size = int(rest[r])
-                    if size <= space:
-                        out.append((count, slot, r, int(length[r]) - size, int(length[r]), s))
-                        unused[r] = False
-                        left -= 1
-                        space -= size
-                        slot += 1
-                        if space < smallest:
-                            break
-                more = ~best & (alive_rest[near] <= space)
-                near, score = near[more], score[more]
+        if n % window:
+            pending.append(r)
+    while pending:
+        space, slot, left = window, 0, []
+        for r in pending:
+            n = sizes[r] % window
+            if n <= space:
+                out.append((count, slot, r, sizes[r] - n, sizes[r]))
+                space -= n
+                slot += 1
+            else:
+                left.append(r)
+        pending = left
         count += 1
-        if left < len(alive) * 3 // 4:
-            live = unused[alive]
-            place = np.cumsum(live) - 1
-            # in place, so that no second copy of the postings is held
-            end, cuts = 0, np.zeros(len(bounds), np.int64)
-            for lo in range(0, len(docs), _BLOCK):
-                keep = live[docs[lo : lo + _BLOCK]]
-                inside = slice(*np.searchsorted(bounds, [lo, lo + len(keep)], "right"))
-                cuts[inside] = end + np.append(0, np.cumsum(keep))[bounds[inside] - lo]
-                m = int(keep.sum())
-                docs[end : end + m], weights[end : end + m] = place[docs[lo : lo + _BLOCK][keep]], weights[lo : lo + _BLOCK][keep]
-                end += m
-            bounds, docs, weights = cuts, docs[:end], weights[:end]
-            alive = alive[unused[alive]]
-            alive_rest = rest[alive]
-            smallest = int(alive_rest.min()) if left else 0
     return out
 
 
-def pack_shard(ids: np.ndarray, texts: pa.Array, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> list[tuple[int, int, int, int, int, float]]:
-    """(window, slot, row, start, end, score) of texts whose rows are in order of their ids."""
-    return pack_shards(list(index_shards(texts, shard_docs)), window)
-
+def _fill(window: int):
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lang, seed, seed_h, part, ids, sizes, score, *_ = (c.to_pylist() for c in pa.Table.from_batches(held).columns)
+        of = "none" if seed[0] is None else f"{seed[0]}.{seed_h[0] & (1 << 64) - 1:016x}"
+        rows = fill_windows(sizes, window)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([f"{of}.{lang[0] & (1 << 64) - 1:016x}.{part[0]}.{k}" for k, *_ in rows], pa.string()), pa.array([s for _, s, *_ in rows], pa.int32()), pa.array([ids[r] for _, _, r, *_ in rows], pa.int64()),
+                pa.array([a for *_, a, _ in rows], pa.int64()), pa.array([b for *_, b in rows], pa.int64()), pa.array([score[r] / SCALE for _, _, r, *_ in rows], pa.float64()),
+            ],
+            names=["window_id", "slot", "doc_id", "start_word", "end_word", "score"],
+        )
 
-def _pack(window: int, shard_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by language and id; a language may span batches
-        lang, ids, shards = None, [], []
+        # rows come sorted by group; a group may span batches
+        held: list[pa.RecordBatch] = []
+        key = None
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            cuts = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
             lo = 0
-            for hi in cuts:
+            for hi in [*(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]:
                 if hi == lo:
                     continue
-                if ids and key[lo] != lang:
-                    yield from _packed(lang, ids, shards, window)
-                    ids, shards = [], []
-                lang = key[lo]
-                ids.append(batch.column(1).slice(lo, int(hi) - lo).to_numpy())
-                shards += index_shards(batch.column(2).slice(lo, int(hi) - lo), shard_docs)
-                lo = int(hi)
-        if ids:
-            yield from _packed(lang, ids, shards, window)
+                if held and keys[lo] != key:
+                    yield packed(held)
+                    held = []
+                key = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+                lo = hi
+        if held:
+            yield packed(held)
 
     return run
 
 
-def _packed(lang: str, held: list[np.ndarray], shards: list[Shard], window: int) -> Iterator[pa.RecordBatch]:
-    ids = np.concatenate(held)
-    rows = pack_shards(shards, window)
-    for lo in range(0, len(rows), 10_000):
-        number, slot, row, start, end, score = zip(*rows[lo : lo + 10_000], strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([f"{lang}-{k}" for k in number], pa.string()), pa.array(slot, pa.int32()), pa.array(ids[np.array(row, np.int64)], pa.int64()),
-                pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(score, pa.float64()),
-            ],
-            names=["window_id", "slot", "doc_id", "start_word", "end_word", "score"],
-        )
-
-
-def retrieval_packing(docs: DataFrame, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """(window_id, slot, doc_id, start_word, end_word, score); slot 0 is the seed.  The result doesn't depend on shard_docs."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(lang.alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sorted_ = rows.repartition("lang").sortWithinPartitions("lang", "doc_id", "text")
-    return _dropping_repeats(sorted_).mapInArrow(_pack(window, shard_docs), PACKED)
-
-
-def _dropping_repeats(rows: DataFrame) -> DataFrame:
-    """Equal neighbours of a sorted table once; no row moves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None
-        for batch in batches:
-            ids = batch.column(1).to_numpy()
-            keep = np.ones(len(ids), bool)
-            if len(ids):
-                for k in [0, *(np.flatnonzero(ids[1:] == ids[:-1]) + 1).tolist()]:
-                    before = last if k == 0 else tuple(batch.column(c)[k - 1].as_py() for c in (1, 2))
-                    keep[k] = before is None or before != tuple(batch.column(c)[k].as_py() for c in (1, 2))
-                last = tuple(batch.column(c)[len(ids) - 1].as_py() for c in (1, 2))
-            yield batch.filter(pa.array(keep))
-
-    return rows.mapInArrow(run, rows.schema)
+def taken(docs: DataFrame, every: int = EVERY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``TAKEN``: each document with words once, and the seed that takes it; null where none does."""
+    spark = docs.sparkSession
+    lang = F.xxhash64(F.col("lang").cast("string")) if "lang" in docs.columns else F.lit(0).cast("long")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    rows = texts.select("doc_id", F.xxhash64("text").alias("h"), "lang", "text")
+    seeds = rows.where(F.col("doc_id") % every == 0)
+    passes = max(1, -(-int(seeds.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // shard_bytes))
+    found = None
+    for k in range(passes):
+        own = sorted({(r["lang"], r["doc_id"], r["h"], r["text"]) for r in seeds.where(F.pmod("h", F.lit(passes)) == k).toLocalIterator()}, key=lambda s: s[:3])
+        terms = seed_terms(own)
+        df, totals = np.zeros(len(terms[0]), np.int64), {}
+        if own:
+            counted = rows.mapInArrow(_count(spark.sparkContext.broadcast(Vocabulary(terms[0]))), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+            kind, key, n = (c.to_numpy() for c in counted.columns)
+            df[key[kind == 0]] = n[kind == 0]
+            words = dict(zip(key[kind == 2].tolist(), n[kind == 2].tolist(), strict=True))
+            totals = {code: (m, words[code]) for code, m in zip(key[kind == 1].tolist(), n[kind == 1].tolist(), strict=True)}
+        keep = [j for j in range(len(own)) if terms[2][j]]
+        shard = index_seeds([own[j] for j in keep], (terms[0], [terms[1][j] for j in keep], terms[2][keep]), df, totals, every)
+        some = rows.mapInArrow(_take(spark.sparkContext.broadcast(shard)), TAKEN)
+        found = some if found is None else found.union(some)
+    order = F.struct(-F.col("share"), "seed_id", "seed_h", "score", "n_words", "share")
+    best = found.groupBy("doc_id", "h", "lang").agg(F.min(order).alias("x"))
+    return best.select("doc_id", "h", "lang", "x.n_words", "x.seed_id", "x.seed_h", "x.score", "x.share")
+
+
+def retrieval_packing(docs: DataFrame, window: int = WINDOW, every: int = EVERY, shard_bytes: int = SHARD_BYTES, group: int = GROUP) -> DataFrame:
+    """(window_id, slot, doc_id, start_word, end_word, score); score is that of the window's seed.  The result doesn't depend on shard_bytes."""
+    found = materialize(taken(docs, every, shard_bytes), "packing-taken")
+    keys = ["lang", "seed_id", "seed_h"]
+    # hot seeds are few: any has thousands of documents
+    hot = found.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > group).select(*(F.col(k).alias(f"of_{k}") for k in keys), F.ceil(F.col("n") / group).alias("parts"))
+    joined = found.join(hot, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("seed_id").eqNullSafe(F.col("of_seed_id")) & F.col("seed_h").eqNullSafe(F.col("of_seed_h")), "left")
+    is_seed = F.col("share") == float("inf")
+    part = F.when(F.col("parts").isNull() | is_seed, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "h"), F.col("parts")))
+    rows = joined.select(*keys, part.alias("part"), "doc_id", "n_words", "score", "h", is_seed.alias("is_seed"))
+    placed = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part", F.col("is_seed").desc(), F.col("score").desc(), "doc_id", "h")
+    return placed.mapInArrow(_fill(window), PACKED)
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, on small tables."""
 
+import math
 import random
 import re
 import unicodedata
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from lexloom.llm import automaton, decontaminate, embeddings, langid, minhash, packing, pii, repeats, secrets, suffix_array, wrappers
@@ -104,45 +104,89 @@ def test_language_vector_is_tf_idf():
 # retrieval packing
 
 
-def pack_by_brute_force(docs, window):
-    """docs: (id, words) in order of id."""
-    n = len(docs)
-    average = sum(len(w) for _, w in docs) / n
-    df = {t: sum(t in w for _, w in docs) for t in {t for _, w in docs for t in w}}
-    idf = {t: max(0.0, np.log((n - k + 0.5) / (k + 0.5))) for t, k in df.items()}
-
-    def score(q, d):
-        return sum(idf[t] * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / average)) for t in set(q) if t in d)
-
-    rest = {i: len(w) % window for i, w in docs}
-    out = [[(i, k * window, (k + 1) * window)] for i, w in docs for k in range(len(w) // window)]
-    unused = [i for i, w in docs if rest[i]]
-    body = dict(docs)
-    while unused:
-        seed = unused.pop(0)
-        own, space = [(seed, len(body[seed]) - rest[seed], len(body[seed]))], window - rest[seed]
-        ranked = sorted((-round(s, 6), i) for i in unused if (s := score(body[seed], body[i])) > 0)
-        for _, i in ranked:
-            if rest[i] <= space:
-                own.append((i, len(body[i]) - rest[i], len(body[i])))
-                space -= rest[i]
-                unused.remove(i)
-        out.append(own)
+def pack_by_brute_force(docs, window, every):
+    """docs: (id, language, words); every document against every seed, one pair at a time."""
+    docs = [d for d in docs if d[2]]
+    step = lambda x: math.floor(x + 0.5)
+    seeds = [d for d in docs if d[0] % every == 0]
+
+    def points(seed, doc):
+        same = [d for d in docs if d[1] == doc[1]]
+        average = sum(len(d[2]) for d in same) / len(same)
+        total = 0
+        for t in set(seed[2]) & set(doc[2]):
+            df, tf = sum(t in d[2] for d in same), doc[2].count(t)
+            idf = max(0.0, np.log((len(same) - df + 0.5) / (df + 0.5)))
+            total += step(packing.SCALE * idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(doc[2]) / average)))
+        return total
+
+    groups = {}
+    for d in docs:
+        if d[0] % every == 0:
+            groups.setdefault((d[1], d[0]), []).append((-math.inf, d))
+            continue
+        ranked = sorted((-points(s, d) / math.sqrt(max(points(s, s), 1)), s[0], points(s, d)) for s in seeds if s[1] == d[1] and points(s, d) > 0)
+        groups.setdefault((d[1], ranked[0][1] if ranked else None), []).append((-ranked[0][2] if ranked else 0, d))
+    out = []
+    for rows in groups.values():
+        rows.sort(key=lambda r: (r[0], r[1][0]))
+        pending = []
+        for _, (i, _, w) in rows:
+            out += [[(i, k * window, (k + 1) * window)] for k in range(len(w) // window)]
+            if len(w) % window:
+                pending.append((i, len(w) - len(w) % window, len(w)))
+        while pending:
+            own, left, space = [], [], window
+            for x in pending:
+                if x[2] - x[1] <= space:
+                    own.append(x)
+                    space -= x[2] - x[1]
+                else:
+                    left.append(x)
+            out.append(own)
+            pending = left
     return sorted(out)
 
 
-def test_packing_against_brute_force():
-    rng = random.Random(2)
-    docs = [(i, [f"t{min(int(rng.expovariate(0.05)), 80)}" for _ in range(rng.choice([3, 10, 25, 70, 130]))]) for i in range(60)]
-    rows = packing.pack_shard(np.arange(60), pa.array([" ".join(w) for _, w in docs]), 50)
+def windows_of(packed):
     got = {}
-    for number, _, row, start, end, _ in rows:
-        got.setdefault(number, []).append((row, start, end))
-    assert sorted(got.values()) == pack_by_brute_force(docs, 50)
+    for r in sorted(packed.collect(), key=lambda r: (r.window_id, r.slot)):
+        got.setdefault(r.window_id, []).append((r.doc_id, r.start_word, r.end_word))
+    return sorted(got.values())
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_packing_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = [(i, rng.choice(["en", "en", "de", None, ""]), [f"t{min(int(rng.expovariate(0.05)), 80)}" for _ in range(rng.choice([0, 3, 10, 25, 70, 130]))]) for i in range(70)]
+    df = spark.createDataFrame([(i, lang, " ".join(w)) for i, lang, w in docs], "doc_id long, lang string, text string")
+    want = pack_by_brute_force(docs, 50, 10)
+    # the shards of the index and repeated rows change nothing; seeds are scored in any order
+    for rows, size in ((df, 1 << 20), (df, 150)):
+        assert windows_of(packing.retrieval_packing(rows, 50, 10, size)) == want
+    assert any(len(w) > 2 for w in want)
+
+
+def test_packing_of_repeated_rows_and_equal_seeds(spark):
+    body = " ".join(f"w{k}" for k in range(20))
+    docs = [(0, body), (10, body), (0, body), *((k, f"{body} own{k}") for k in range(1, 40) if k % 10), (3, f"{body} own3"), (3, "another text of three"), (20, "far off"), (30, "nothing at all"), *((k, f"filler{k} text{k}") for k in range(101, 180))]
+    df = spark.createDataFrame([(i, "en", t) for i, t in docs], "doc_id long, lang string, text string")
+    got = packing.retrieval_packing(df, 64, 10).collect()
+    assert sorted((r.doc_id, r.end_word - r.start_word) for r in got) == sorted((i, len(t.split())) for i, t in set(docs))
+    # both of the equal seeds take some of the copies
+    assert {w[0][0] for w in windows_of(packing.retrieval_packing(df, 64, 10)) if len(w) > 1} >= {0, 10}
+
+
+def test_hot_seeds_are_split(spark):
+    docs = [(k, f"a b c d{k}") for k in range(60)] + [(100 + k, f"z{k}") for k in range(70)]
+    df = spark.createDataFrame([(i, "en", t) for i, t in docs], "doc_id long, lang string, text string")
+    got = packing.retrieval_packing(df, 16, 1000, group=10).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in got) == sorted((i, 0, len(t.split())) for i, t in docs)
+    assert len({r.window_id.rsplit(".", 1)[0] for r in got}) > 5
 
 
 def test_packing_is_lossless(documents):
-    got = packing.retrieval_packing(documents, window=256, shard_docs=50).collect()
+    got = packing.retrieval_packing(documents, window=256, every=10).collect()
     spans, size = {}, {}
     for r in got:
         spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
@@ -156,25 +200,6 @@ def test_packing_is_lossless(documents):
         assert at == len(re.findall(r"[^ \t\n\r\f\x0b]+", r.text))
 
 
-def test_neighbours_of_all_shards(spark):
-    # pairs of near documents, most of them in different shards
-    rng = random.Random(6)
-    docs = []
-    for k in range(60):
-        own = [f"t{k}_{j}" for j in range(8)] + [f"c{rng.randrange(40)}" for _ in range(6)]
-        docs += [(k, own), (100 + k, rng.sample(own, 12) + [f"c{rng.randrange(40)}"])]
-    docs = [(i, w) for i, (_, w) in enumerate(sorted(docs))]
-    df = spark.createDataFrame([(i, "en", " ".join(w)) for i, w in docs], "doc_id long, lang string, text string")
-    want = pack_by_brute_force(docs, 30)
-    for shard_docs in (7, 10**6):
-        got = {}
-        for r in sorted(packing.retrieval_packing(df, 30, shard_docs).collect(), key=lambda r: (r.window_id, r.slot)):
-            got.setdefault(r.window_id, []).append((r.doc_id, r.start_word, r.end_word))
-        pairs = {tuple(x[0] for x in w[:2]) for w in got.values()}
-        assert np.mean([(k, 60 + k) in pairs for k in range(60)]) >= 0.9
-        assert sorted(got.values()) == want
-
-
 # substring dedup
 
 
