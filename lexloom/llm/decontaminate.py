@@ -7,12 +7,15 @@ within ``e`` edits of a piece of ``m`` units shares at least ``m - q + 1 - q * e
 with it, all on diagonals (text offset less piece offset) that differ by at most ``e``.
 Shared q-grams are therefore counted in diagonal bands that overlap by ``e``; bands that
 reach the bound are verified by banded alignment.  ``e`` is ``RATE`` of the piece, less
-where the bound would otherwise be below one.  Pieces shorter than ``q`` units match only
-exactly, as whole words.
+where the bound would otherwise be below one.  Pieces shorter than ``q`` units hold no q-gram; they match only
+exactly (``RATE`` gives any piece below 1 / ``RATE`` units a budget of none anyway) and as whole words, as shorter ones lie inside common words.
+Equal pieces are searched once.  Texts and items that repeat a few q-grams over and over meet in many places: these are
+counted ``_MEETINGS`` at a time, so memory stays bounded.
 
 Nulls: rows without doc_id or text, and items without item_id or text, are left out; so are
-items without letters or digits.  Empty texts match nothing.  Items with equal text each
-report.  Repeated rows of a document report once.  Only ``doc_id`` and ``text``
+items without letters or digits.  Empty texts match nothing, very long ones are searched whole.  Items with equal text each
+report.  Repeated rows of a document report once, rows of one doc_id with different texts as one document.  Ties: of
+several places of a piece the one with the fewest edits counts.  Only ``doc_id`` and ``text``
 (``item_id`` and ``text``) are read, so other columns never clash.  Empty tables give an
 empty result.
 """
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sides import without
 from .vectext import chunks, mix, ranges
 
 Q = 12
@@ -35,6 +39,8 @@ RATE = 0.05
 #: Benchmark text that one broadcast index holds; more text is handled in several passes.
 INDEX_BYTES = 8 << 20
 _BITS = 22
+#: Meetings of a text's and the index's q-grams that are counted at a time.
+_MEETINGS = 1 << 22
 
 FOUND = "doc_id long, item_id long, piece int, edits int"
 
@@ -92,6 +98,9 @@ class Pieces:
     owner: np.ndarray
     offset: np.ndarray
     bitmap: np.ndarray
+    #: places of equal pieces, from bounds[k] on for the one that stands for them at its own place k
+    bounds: np.ndarray
+    equal: np.ndarray
     short: list[tuple[int, bytes]]
     q: int
 
@@ -117,11 +126,16 @@ def index_pieces(items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, r
     start = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts), np.uint8)
     codes, owner, offset = [], [], []
+    same: dict[bytes, list[int]] = {}
     for k, t in enumerate(texts):
+        same.setdefault(t, []).append(k)
+        if same[t][0] < k:
+            continue
         c = gram_codes(np.frombuffer(t, np.uint8), q)
         codes.append(c)
         owner.append(np.full(len(c), k))
         offset.append(np.arange(len(c)))
+    equal = [same.get(t, []) if same[t][0] == k else [] for k, t in enumerate(texts)]
     every = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
     order = np.argsort(every, kind="stable")
     unique, first = np.unique(every[order], return_index=True)
@@ -131,7 +145,8 @@ def index_pieces(items: list[tuple[int, str]], q: int = Q, piece: int = PIECE, r
     budget = np.minimum((size * rate).astype(np.int64), (size - q) // q)
     return Pieces(
         np.array(item, np.int64), np.array(number, np.int32), start, size, np.maximum(budget, 0), data, unique, np.append(first, len(every)),
-        np.concatenate(owner)[order] if owner else none, np.concatenate(offset)[order] if offset else none, bitmap, short, q,
+        np.concatenate(owner)[order] if owner else none, np.concatenate(offset)[order] if offset else none, bitmap,
+        np.append(0, np.cumsum([len(e) for e in equal])).astype(np.int64), np.array([k for e in equal for k in e], np.int64), short, q,
     )
 
 
@@ -182,28 +197,35 @@ def matches(data: np.ndarray, offs: np.ndarray, index: Pieces) -> tuple[np.ndarr
     same = hit + index.q <= bounds[row + 1]
     hit, place, row = hit[same], place[same], row[same]
     counts = index.first[place + 1] - index.first[place]
-    at = ranges(index.first[place], counts)
-    owner = index.owner[at]
-    key = np.repeat(row, counts) * len(index.item) + owner
-    diagonal = np.repeat(hit, counts) - index.offset[at]
     need = index.size - index.q + 1 - index.q * index.budget
-    # a text with too few shared q-grams in all has too few in every band
-    kinds, inverse, total = np.unique(key, return_inverse=True, return_counts=True)
-    enough = (total >= need[kinds % len(index.item)])[inverse]
-    key, diagonal, owner = key[enough], diagonal[enough], owner[enough]
-    if not len(key):
-        return none, none, none
     most = int(index.budget.max())
     pitch = max(8, most + 1)
-    band = diagonal // pitch
-    also = diagonal - band * pitch < most
-    key, band, owner = np.concatenate([key, key[also]]), np.concatenate([band, band[also] - 1]), np.concatenate([owner, owner[also]])
-    order = np.lexsort((band, key))
-    key, band, owner = key[order], band[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
-    first = np.flatnonzero(new)
-    shared = np.diff(np.append(first, len(key)))
+    upto = np.cumsum(counts)
+    held, lo = [], 0
+    while lo < len(hit):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _MEETINGS, "right")))
+        # whole texts where possible
+        whole = int(np.searchsorted(row, row[hi - 1])) if hi < len(hit) and row[hi] == row[hi - 1] else hi
+        split = whole <= lo or lo > 0 and row[lo - 1] == row[lo]
+        hi = hi if whole <= lo else whole
+        at = ranges(index.first[place[lo:hi]], counts[lo:hi])
+        owner = index.owner[at]
+        key = np.repeat(row[lo:hi], counts[lo:hi]) * len(index.item) + owner
+        diagonal = np.repeat(hit[lo:hi], counts[lo:hi]) - index.offset[at]
+        if not split:
+            # a text with too few shared q-grams in all has too few in every band
+            kinds, inverse, total = np.unique(key, return_inverse=True, return_counts=True)
+            enough = (total >= need[kinds % len(index.item)])[inverse]
+            key, diagonal = key[enough], diagonal[enough]
+        band = diagonal // pitch
+        also = diagonal - band * pitch < most
+        held.append(_runs(np.concatenate([key, key[also]]), np.concatenate([band, band[also] - 1]), None))
+        lo = hi
+    if not held:
+        return none, none, none
+    key, band, shared = _runs(*(np.concatenate(c) for c in zip(*held, strict=True))) if len(held) > 1 else held[0]
+    owner = key % len(index.item)
+    first = np.arange(len(key))
     first = first[shared >= need[owner[first]]]
     out_row, out_piece, out_edits = [], [], []
     for part in np.array_split(first, max(1, len(first) // 20_000)):
@@ -217,7 +239,20 @@ def matches(data: np.ndarray, offs: np.ndarray, index: Pieces) -> tuple[np.ndarr
         out_edits.append(edits[ok])
     if not out_row:
         return none, none, none
-    return np.concatenate(out_row), np.concatenate(out_piece), np.concatenate(out_edits)
+    row, piece, edits = np.concatenate(out_row), np.concatenate(out_piece), np.concatenate(out_edits)
+    times = index.bounds[piece + 1] - index.bounds[piece]
+    return np.repeat(row, times), index.equal[ranges(index.bounds[piece], times)], np.repeat(edits, times)
+
+
+def _runs(key: np.ndarray, band: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, band), sorted, and their counts (or sums of n)."""
+    order = np.lexsort((band, key))
+    key, band = key[order], band[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
+    at = np.flatnonzero(new)
+    total = np.diff(np.append(at, len(key))) if n is None else np.add.reduceat(n[order], at) if len(at) else np.zeros(0, np.int64)
+    return key[at], band[at], total
 
 
 def _scan(index) -> object:
@@ -264,8 +299,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, q: int = Q, piece: int
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params: float) -> DataFrame:
     """Documents in which no benchmark item is found; all columns and other rows stay."""
-    bad = contamination(docs, benchmark, **params).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__found"], "left_anti")
+    bad = contamination(docs, benchmark, **params).select("doc_id").distinct()
+    return without(docs, docs["doc_id"].cast("long"), bad)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ sets equal with probability of their Jaccard similarity.  ``ROWS`` bins make a b
 bands put documents in one bucket.  Each bucket is a star: every member is compared with the
 smallest doc_id in it, so there are fewer candidate edges than rows.  Members that fail
 against their hub are compared among themselves, leader by leader, until none is left: no
-bucket is capped.  Edges with enough equal bins are joined to groups by taking minima along
-edges and through pointers.
+bucket is capped.  A bucket with more than ``BLOCK`` of those is cut into blocks, and each two blocks of it are led in a task
+of their own, so no task holds more than two blocks and no two members are left out.  Edges with enough equal bins are joined
+to groups by taking minima along edges and through pointers.
 
-Exact copies (same lower-cased words) collapse first and count as one document.
+Exact copies (same lower-cased words) collapse first and count as one text; edges are between texts.
 Nulls: rows without doc_id or text are left out; texts without words are left out (they are
-never duplicates).  Rows with the same doc_id count once.  Only ``doc_id`` and ``text``
+never duplicates).  Very long texts are read whole.  Rows with the same doc_id and text count once; a doc_id with different texts
+is one document that has the near copies of all of them.  Only ``doc_id`` and ``text``
 are read, so other columns never clash.  Ties: the smallest doc_id stays.  An empty table
 gives an empty result.
 """
@@ -25,18 +27,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexloom.storage import materialize
 
+from .sides import without
 from .vectext import Stretch, Words, chunks, mix, signed
 
 SHINGLE = 3
 BINS = 160
 ROWS = 4
 THRESHOLD = 0.5
+#: Members of a bucket in one block.
+BLOCK = 4096
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 SIGNED = "doc_id long, content long, signature binary"
@@ -108,7 +113,7 @@ def _bands(rows: int):
             h += np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for k in range(rows):
                 h = mix(h ^ sig[:, k : bands * rows : rows])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(signed(h.reshape(-1)))], names=["doc_id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(signed(h.reshape(-1)))], names=["content", "bucket"])
 
     return run
 
@@ -126,23 +131,32 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_equal_share(a, b))
 
 
-def leaders(sig: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(member, leader, similarity): rows in turn lead all later rows that are near and led by none."""
-    out, rest = [], np.arange(len(sig))
-    while len(rest) > 1:
-        near = (sig[rest[1:]] == sig[rest[0]]).mean(1)
-        out += [(int(i), int(rest[0]), float(x)) for i, x in zip(rest[1:], near, strict=True) if x >= threshold]
-        rest = rest[1:][near < threshold]
+def leaders(sig: np.ndarray, threshold: float, split: int | None = None) -> list[tuple[int, int, float]]:
+    """(member, leader, similarity): rows in turn lead all later rows that are near and led by none.
+
+    ``split``: rows before it lead, and lead only those from it on; both were led among themselves elsewhere.
+    """
+    out, rest = [], np.arange(split or 0, len(sig))
+    own = iter(range(split)) if split is not None else None
+    while len(rest) > (1 if own is None else 0):
+        if own is None:
+            first, rest = int(rest[0]), rest[1:]
+        elif (first := next(own, None)) is None:
+            break
+        near = (sig[rest] == sig[first]).mean(1)
+        out += [(int(i), first, float(x)) for i, x in zip(rest, near, strict=True) if x >= threshold]
+        rest = rest[near < threshold]
     return out
 
 
 def _lead(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        ids = pdf["doc_id"].to_numpy()
-        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(ids), -1)
-        found = leaders(sig, threshold)
-        return pd.DataFrame({"a": [ids[j] for _, j, _ in found], "b": [ids[i] for i, _, _ in found], "jaccard": [x for _, _, x in found]})
+        pdf = pdf.sort_values(["late", "doc_id", "content"], kind="stable")
+        keys = pdf["content"].to_numpy()
+        sig = np.frombuffer(b"".join(pdf["signature"]), np.uint32).reshape(len(keys), -1)
+        late = pdf["late"].to_numpy()
+        found = leaders(sig, threshold, int((~late).sum()) if late.any() else None)
+        return pd.DataFrame({"a": keys[[j for _, j, _ in found]], "b": keys[[i for i, _, _ in found]], "jaccard": [x for _, _, x in found]})
 
     return run
 
@@ -165,30 +179,31 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return labels
 
 
-def near_edges(signed_docs: DataFrame, rows: int, threshold: float) -> DataFrame:
-    """Stored edges (a < b, jaccard) between documents of equal buckets that are near."""
-    one = signed_docs.select("doc_id", "signature")
-    banded = one.mapInArrow(_bands(rows), "doc_id long, bucket long")
-    hub = F.min("doc_id").over(Window.partitionBy("bucket"))
-    starred = materialize(banded.withColumn("hub", hub).where("hub <> doc_id"), "minhash-stars")
-    pairs = starred.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    left = one.select(F.col("doc_id").alias("a"), F.col("signature").alias("x"))
-    right = one.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
-    scored = pairs.join(left, "a").join(right, "b").select("a", "b", similarity("x", "y").alias("jaccard"))
-    scored = materialize(scored, "minhash-scored")
+def near_edges(texts: DataFrame, rows: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b, jaccard) between texts (content, doc_id, signature) of equal buckets that are near."""
+    banded = texts.select("content", "signature").mapInArrow(_bands(rows), "content long, bucket long")
+    named = materialize(banded.join(texts.select("content", "doc_id"), "content"), "minhash-buckets")
+    # aggregated before it moves, so that a hot bucket is a row a task
+    hubs = named.groupBy("bucket").agg(F.min(F.struct("doc_id", "content")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("hub.content").alias("hub"))
+    starred = materialize(named.join(hubs, "bucket").where("hub <> content"), "minhash-stars")
+    pairs = starred.select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct()
+    left = texts.select(F.col("content").alias("a"), F.col("signature").alias("x"))
+    right = texts.select(F.col("content").alias("b"), F.col("signature").alias("y"))
+    scored = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", similarity("x", "y").alias("jaccard")), "minhash-scored")
     near = scored.where(F.col("jaccard") >= threshold)
     # the rest: members that are not near their hub, bucket by bucket
-    far = scored.where(F.col("jaccard") < threshold).select(F.col("a").alias("hub"), F.col("b").alias("doc_id"))
-    rest = starred.join(far, ["hub", "doc_id"], "left_semi").select("bucket", "doc_id")
-    many = rest.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    far = scored.where(F.col("jaccard") < threshold).select(F.col("a").alias("hub"), F.col("b").alias("content"))
+    rest = materialize(starred.join(far, ["hub", "content"], "left_semi").select("bucket", "content", "doc_id"), "minhash-rest")
+    sizes = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("content").cast("decimal(38,0)")).alias("members")).where("n > 1")
     # buckets with the same members need one look
-    same = many.groupBy("bucket").agg(F.min("n").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
-    many = many.drop("n").join(same.select("bucket"), "bucket", "left_semi").join(one, "doc_id")
-    led = many.groupBy("bucket").applyInPandas(_lead(threshold), "a long, b long, jaccard double")
+    once = sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    many = rest.join(once, "bucket").withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = many.select("bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), (F.col("own") > F.col("other")).alias("late"), "content", "doc_id")
+    led = met.join(texts.select("content", "signature"), "content").groupBy("bucket", "first", "second").applyInPandas(_lead(threshold), "a long, b long, jaccard double")
     return near.union(led).distinct()
 
 
-def minhash_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bins: int = BINS, rows: int = ROWS) -> DataFrame:
+def minhash_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bins: int = BINS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, group_id, group_size, keep) of the documents that have a near or exact copy.
 
     ``group_id`` is the smallest doc_id of the group and the one that stays.
@@ -196,19 +211,23 @@ def minhash_groups(docs: DataFrame, threshold: float = THRESHOLD, shingle: int =
     source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_docs = materialize(source.mapInArrow(_emit(shingle, bins), SIGNED), "minhash-signatures")
     heads = all_docs.groupBy("content").agg(F.min("doc_id").alias("head"))
-    copies = materialize(all_docs.select("doc_id", "content").join(heads, "content").select("doc_id", "head").distinct(), "minhash-copies")
-    distinct = all_docs.join(heads.select(F.col("head").alias("doc_id"), "content"), ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id"])
-    edges = near_edges(distinct, rows, threshold).select("a", "b")
+    copies = materialize(all_docs.select("doc_id", "content").join(heads, "content").select("content", "doc_id", "head").distinct(), "minhash-copies")
+    # texts of one content have one signature
+    first = all_docs.join(heads.select("content", F.col("head").alias("doc_id")), ["content", "doc_id"], "left_semi")
+    texts = materialize(first.groupBy("content", "doc_id").agg(F.first("signature").alias("signature")), "minhash-texts")
+    name = texts.select("content", "doc_id")
+    near = near_edges(texts, rows, threshold, block).select("a", "b")
+    near = near.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     exact = copies.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
-    labels = components(edges.union(exact), "minhash")
-    size = F.count("*").over(Window.partitionBy("group_id"))
-    return labels.select("doc_id", "group_id", size.alias("group_size"), (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    labels = components(near.union(exact), "minhash")
+    size = labels.groupBy("group_id").agg(F.count("*").alias("group_size"))
+    return labels.join(size, "group_id").select("doc_id", "group_id", "group_size", (F.col("doc_id") == F.col("group_id")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, **params: float) -> DataFrame:
     """Documents without the near and exact copies of an earlier one; all columns and other rows stay."""
-    drop = minhash_groups(docs, **params).where("NOT keep").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(drop, docs["doc_id"] == drop["__dropped"], "left_anti")
+    drop = minhash_groups(docs, **params).where("NOT keep").select("doc_id")
+    return without(docs, docs["doc_id"].cast("long"), drop)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
