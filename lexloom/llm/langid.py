@@ -4,15 +4,16 @@ Features are hashed character n-grams (1 to 3 characters, lower case, runs of an
 letters as one blank), weighted by term frequency (share of the text's n-grams) times inverse document frequency.  Document frequencies count every document of the
 table.  Weights are trained by follow-the-regularised-leader (FTRL-proximal) with an
 elastic net, which leaves most of them at zero, on a bounded sample of labelled rows
-(``SAMPLE``, chosen by a hash of their ids); a held-out fifth of that sample fits one
-temperature that calibrates the probabilities.  Every document is then scored whole.
+(``SAMPLE``, chosen by a hash of their ids); every fifth row of that sample is held out and fits one
+temperature that calibrates the probabilities (fewer than five rows hold none out, and it stays at 1).  Only counts of hashed features leave the executors, no
+texts, so the sample is bounded in bytes too.  Every document is then scored whole.
 
 A document is accepted when its most probable language has at least ``LEAST`` calibrated
 probability.
 
 Nulls: a null label is no label; a null text, like one without letters, has no language: it
-is reported as ``und`` with probability 0 and not accepted.  Ties take the language that
-sorts first.  Repeated rows are scored each.  Only ``doc_id``, ``text`` and ``lang`` are
+is reported as ``und`` with probability 0 and not accepted.  Very long texts are scored whole.  Ties take the language that
+sorts first.  Repeated rows are scored each, and count each in the document frequencies.  Only ``doc_id``, ``text`` and ``lang`` are
 read, so other columns never clash.  Empty or unlabelled tables have no language to learn:
 every document is ``und``.
 """
@@ -131,25 +132,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse TF-IDF vector of one text."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    chars, bounds, some = characters(data, np.array([0, len(data)]))
-    if not some[0]:
-        return np.zeros(0, np.int64), np.zeros(0)
-    n = counts_of(features(chars, bounds), 0, len(chars))
-    at = np.flatnonzero(n)
-    return at, n[at] / n.sum() * idf[at]
-
-
-def train(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal with an elastic net over (text, language) rows in turn, then one temperature."""
-    languages = sorted({lang for _, lang in rows})
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal with an elastic net over rows (language, features, their shares of the text) in turn, then one temperature."""
+    languages = sorted({lang for lang, *_ in rows})
     k, d = len(languages), len(idf)
     z, n = np.zeros((d + 1, k)), np.zeros((d + 1, k))
-    vectors = [(np.append(i, d), np.append(v, 1.0), languages.index(lang)) for text, lang in rows for i, v in [vector(text, idf)] if len(i)]
-    held = vectors[::5] if len(vectors) >= 20 else vectors
-    used = [v for j, v in enumerate(vectors) if j % 5] if len(vectors) >= 20 else vectors
+    vectors = [(np.append(i, d), np.append(v * idf[i], 1.0), languages.index(lang)) for lang, i, v in rows if len(i)]
+    held = vectors[4::5]
+    used = [v for j, v in enumerate(vectors) if j % 5 != 4]
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
@@ -169,8 +159,8 @@ def train(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = EPOCHS) ->
     truth = np.array([y for *_, y in held], np.int64)
     # scores grow well beyond 1 once divided: the grid holds temperatures from 0.02 to 5
     grid = np.exp(np.linspace(np.log(0.02), np.log(5.0), 120))
-    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean() if len(truth) else t for t in grid]
-    best = float(grid[int(np.argmin(loss))])
+    loss = [-np.log(np.maximum(softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean() if held else 0.0 for t in grid]
+    best = float(grid[int(np.argmin(loss))]) if held else 1.0
     return Model(languages, (full[:d] * idf[:, None]).astype(np.float32), full[d], best)
 
 
@@ -186,6 +176,23 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "df"])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, data, offs in chunks(batch.column(3)):
+            chars, bounds, some = characters(data, offs)
+            feat = features(chars, bounds)
+            found = []
+            for r in range(len(offs) - 1):
+                n = counts_of(feat, bounds[r], bounds[r + 1]) if some[r] else np.zeros(0, np.int64)
+                at = np.flatnonzero(n)
+                found.append((at.tolist(), n[at].tolist()))
+            at, n = zip(*found, strict=True)
+            m = len(found)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(lo, m) for c in range(3)), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["draw", "doc_id", "lang", "at", "n"]
+            )
+
+
 def _predict(model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
@@ -217,12 +224,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model |
         return None
     share = min(1.0, sample / rows)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = sorted((r["draw"], r["doc_id"], r["lang"], r["text"]) for r in labelled.select(draw.alias("draw"), "doc_id", "lang", "text").where(F.col("draw") < int(share * (1 << 30))).collect())
+    drawn = labelled.select(draw.alias("draw"), "doc_id", "lang", "text").where(F.col("draw") < int(share * (1 << 30)))
+    sampled = drawn.mapInArrow(_sampled, "draw long, doc_id long, lang string, at array<int>, n array<long>").toArrow().to_pylist()
+    chosen = sorted((r["draw"], r["doc_id"], r["lang"], r["at"], r["n"]) for r in sampled)
     counts = np.zeros(1 << BITS)
     for feature, n in df.collect():
         counts[feature] = n
     idf = np.log((1 + total) / (1 + counts)) + 1
-    return train([(text, lang) for _, _, lang, text in chosen], idf, epochs) if chosen else None
+    vectors = [(lang, np.array(at, np.int64), np.array(n, float) / max(1, sum(n))) for _, _, lang, at, n in chosen]
+    return train(vectors, idf, epochs) if chosen else None
 
 
 def identify(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
