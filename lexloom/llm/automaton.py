@@ -17,8 +17,9 @@ Two uses:
 
 The first document (by doc_id) that holds a window keeps it; it is removed from later ones.
 
-Nulls: documents without id or text, and texts of fewer than ``length`` words, have no
-windows and no row in the result.  Repeated rows (equal doc_id) count as one document.  Only
+Nulls: documents without id or text, and texts of fewer than ``length`` words (empty ones too), have no
+windows and no row in the result.  Very long texts are streamed whole.  Repeated rows give one row; rows of one doc_id with different texts
+are one document with a row for each text.  Ties: rows of the first document all keep their windows, also where it holds one twice.  Only
 ``doc_id`` and ``text`` are read, so other columns never clash.  An empty table gives an
 empty result.
 """
@@ -146,7 +147,12 @@ def repeated_windows(words: np.ndarray, bounds: np.ndarray, min_doc: np.ndarray,
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    before = None
     for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True))
+        new = [k == 0 and key != before or k > 0 and key != keys[k - 1] for k, key in enumerate(keys)]
+        before = keys[-1] if keys else before
+        batch = batch.filter(pa.array(new, pa.bool_()))
         out: list[tuple] = []
         spans = batch.column(2).to_pylist()
         for lo, data, offs in chunks(batch.column(1)):
@@ -181,16 +187,23 @@ def substring_dedup(docs: DataFrame, length: int = repeats.LENGTH, gram: int = r
     found = repeats.candidates(docs, length, gram, "automaton")
     runs = repeats.in_shards(repeats.segments(docs, found), repeated_windows, length, SHARD_WORDS)
     spans = repeats.spans(found, runs)
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("is_first", "start_word", "end_word")).alias("spans"))
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_clean, CLEANED)
+    return _cleaned(repeats.rows_of(docs), spans)
+
+
+def _cleaned(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``CLEANED`` rows of the texts (doc_id, text_hash, text) that have spans."""
+    own = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("is_first", "start_word", "end_word")).alias("spans"))
+    joined = texts.join(own.hint("shuffle_hash"), ["doc_id", "text_hash"])
+    # repeated rows lie in one task, next to each other
+    rows = joined.select("doc_id", "text", "spans", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    return rows.mapInArrow(_clean, CLEANED)
 
 
 def _match(held, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam, names = held.value
         for batch in batches:
-            for lo, data, offs in chunks(batch.column(1)):
+            for lo, data, offs in chunks(batch.column(2)):
                 words = Words(data, offs)
                 hashes = words.hashes()
                 place = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
@@ -198,10 +211,10 @@ def _match(held, length: int):
                 rows = []
                 for r in range(len(offs) - 1):
                     ends = [e for e, _ in sam.stream(ids[words.bounds[r] : words.bounds[r + 1]].tolist(), length, False)]
-                    rows += [(batch.column(0)[lo + r].as_py(), e - length, e) for e in ends]
+                    rows += [(batch.column(0)[lo + r].as_py(), batch.column(1)[lo + r].as_py(), e - length, e) for e in ends]
                 if rows:
-                    doc, a, b = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "start_word", "end_word"])
+                    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "start_word", "end_word"])
 
     return run
 
@@ -209,7 +222,7 @@ def _match(held, length: int):
 def remove_matches(docs: DataFrame, reference: DataFrame, length: int = repeats.LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Documents that share a window with the reference (column ``text``), without it; columns as above."""
     spark = docs.sparkSession
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = repeats.rows_of(docs)
     known = reference.where(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"))
     size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-int(size) // shard_bytes))
@@ -225,11 +238,10 @@ def remove_matches(docs: DataFrame, reference: DataFrame, length: int = repeats.
             ids = np.searchsorted(names, hashes).tolist()
             for a, b in zip(bounds, bounds[1:], strict=False):
                 sam.add(ids[a:b], 0, 0)
-        some = texts.mapInArrow(_match(spark.sparkContext.broadcast((sam, names)), length), "doc_id long, start_word long, end_word long")
+        some = texts.mapInArrow(_match(spark.sparkContext.broadcast((sam, names)), length), "doc_id long, text_hash long, start_word long, end_word long")
         found = some if found is None else found.union(some)
-    spans = repeats.merged(found.distinct().withColumn("first_doc", F.lit(0)), ["doc_id"])
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.lit(False).alias("is_first"), "start_word", "end_word")).alias("spans"))
-    return texts.join(own.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_clean, CLEANED)
+    spans = repeats.merged(found.distinct().withColumn("first_doc", F.lit(0)), ["doc_id", "text_hash"])
+    return _cleaned(texts, spans.withColumn("is_first", F.lit(False)))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,13 +251,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = (
     repeats.WINDOWS_SQL
     + """, s AS (
-  SELECT doc_id, list(start_word ORDER BY start_word) FILTER (NOT is_first) AS ra, list(end_word ORDER BY start_word) FILTER (NOT is_first) AS rb,
+  SELECT doc_id, text, list(start_word ORDER BY start_word) FILTER (NOT is_first) AS ra, list(end_word ORDER BY start_word) FILTER (NOT is_first) AS rb,
     list(start_word ORDER BY start_word) FILTER (is_first) AS fa, list(end_word ORDER BY start_word) FILTER (is_first) AS fb
-  FROM spans GROUP BY doc_id
+  FROM spans GROUP BY doc_id, text
 ), t AS (
   SELECT doc_id, coalesce(ra, []) AS removed_start, coalesce(rb, []) AS removed_end, coalesce(fa, []) AS first_start, coalesce(fb, []) AS first_end,
     text, regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+[ \\t\\n\\r\\f\\x0B]*') AS units
-  FROM documents JOIN s USING (doc_id)
+  FROM s
 )
 SELECT doc_id, len(units)::BIGINT AS n_words, coalesce(list_sum(removed_end) - list_sum(removed_start), 0)::BIGINT AS n_removed, removed_start, removed_end, first_start, first_end,
   regexp_extract(text, '^[ \\t\\n\\r\\f\\x0B]*') || array_to_string(list_filter(units, lambda u, i:

@@ -11,6 +11,9 @@ window that holds the anchor.  Anchors without a stretch of another document are
 words of the others are fetched once for each distinct segment and sent to the anchor's shard.  There
 the exact structure (suffix array or suffix automaton) decides; hashes only ever select
 candidates.
+
+A row is a (doc_id, text) pair: rows with one doc_id and different texts are one document, so a window that only they
+hold doesn't repeat, and each has spans of its own; a hash of the text tells them apart.
 """
 
 from __future__ import annotations
@@ -31,17 +34,17 @@ GRAM = 16
 #: Words of segments that one shard structure holds at most, unless one anchor alone has more.
 SHARD_WORDS = 600_000
 
-ANCHORS = "anchor long, segment long, doc_id long, start long, n_words int, h0 long, h1 long, h2 long"
+ANCHORS = "anchor long, segment long, doc_id long, text_hash long, start long, n_words int, h0 long, h1 long, h2 long"
 _STRETCHES = ("h0", "h1", "h2")
 SEGMENTS = "anchor long, segment long, min_doc long, max_doc long, words string"
 RUNS = "anchor long, segment long, lo int, hi int, first_doc long"
 
 
-def anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray | pa.Array]:
+def anchors_of(ids: np.ndarray, texts: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray | pa.Array]:
     """The anchors of a chunk of documents."""
     words = Words(data, offs)
     n, width = len(words.start), length - gram + 1
-    empty = {"anchor": np.zeros(0, np.int64), "segment": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n_words": np.zeros(0, np.int32)}
+    empty = {"anchor": np.zeros(0, np.int64), "segment": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "text_hash": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "n_words": np.zeros(0, np.int32)}
     empty |= {h: np.zeros(0, np.int64) for h in _STRETCHES}
     if n < length:
         return empty
@@ -76,15 +79,16 @@ def anchors_of(ids: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int,
         hashes = signed(sums.hash(np.where(inside, a, 0), np.where(inside, b, 0)))
         stretches[name] = pa.array(hashes, mask=~inside)
     body = sums.hash(first, end) ^ (np.uint64(0x9E3779B97F4A7C15) * (picked - first + 1).astype(np.uint64))
-    return {"anchor": signed(grams[picked]), "segment": signed(body), "doc_id": ids[row], "start": first - words.bounds[row], "n_words": (end - first).astype(np.int32)} | stretches
+    return {"anchor": signed(grams[picked]), "segment": signed(body), "doc_id": ids[row], "text_hash": texts[row], "start": first - words.bounds[row], "n_words": (end - first).astype(np.int32)} | stretches
 
 
 def _emit_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, data, offs in chunks(batch.column(1)):
-                found = anchors_of(ids[lo : lo + len(offs) - 1], data, offs, length, gram)
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, data, offs in chunks(batch.column(2)):
+                own = slice(lo, lo + len(offs) - 1)
+                found = anchors_of(ids[own], texts[own], data, offs, length, gram)
                 if len(found["anchor"]):
                     yield pa.RecordBatch.from_pydict(found)
 
@@ -97,16 +101,21 @@ def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("shared", F.min("doc_id").over(same) < F.max("doc_id").over(same))
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) of all rows with both."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
 def candidates(docs: DataFrame, length: int, gram: int, label: str) -> DataFrame:
     """Stored anchors with a stretch that occurs in two documents or more."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(_emit_anchors(length, gram), ANCHORS)
+    found = rows_of(docs).mapInArrow(_emit_anchors(length, gram), ANCHORS)
     kept = _shared(found, ["anchor"]).where("shared")
     hits = []
     for h in _STRETCHES:
         kept = _shared(kept, ["anchor", h]).withColumnRenamed("shared", f"shared_{h}")
         hits.append(F.col(h).isNotNull() & F.col(f"shared_{h}"))
-    kept = kept.where(hits[0] | hits[1] | hits[2]).select("anchor", "segment", "doc_id", "start", "n_words")
+    kept = kept.where(hits[0] | hits[1] | hits[2]).select("anchor", "segment", "doc_id", "text_hash", "start", "n_words")
     return materialize(kept, label)
 
 
@@ -134,12 +143,11 @@ def segments(docs: DataFrame, found: DataFrame) -> DataFrame:
     A segment whose anchor has no other segment and which one document alone holds can't
     repeat; there is none, since its anchor would not be a candidate.
     """
-    each = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at"), F.max("doc_id").alias("max_doc"))
-    wanted = each.groupBy(F.col("at.doc_id").alias("doc_id")).agg(
+    each = found.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "text_hash", "start", "n_words")).alias("at"), F.max("doc_id").alias("max_doc"))
+    wanted = each.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash")).agg(
         F.collect_list(F.struct("anchor", "segment", F.col("at.doc_id").alias("min_doc"), "max_doc", F.col("at.start").alias("start"), F.col("at.n_words").alias("n_words"))).alias("wanted")
     )
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted")
+    texts = rows_of(docs).join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("text", "wanted")
     return texts.mapInArrow(_cut, SEGMENTS)
 
 
@@ -216,34 +224,34 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spans(found: DataFrame, runs: DataFrame) -> DataFrame:
-    """Spans (doc_id, is_first, start_word, end_word, n_words, first_doc_id) of all documents."""
+    """Spans (doc_id, text_hash, is_first, start_word, end_word, n_words, first_doc_id) of all documents."""
     each = found.join(runs.hint("shuffle_hash"), ["anchor", "segment"]).select(
-        "doc_id", (F.col("first_doc") == F.col("doc_id")).alias("is_first"), (F.col("start") + F.col("lo")).alias("start_word"), (F.col("start") + F.col("hi")).alias("end_word"), "first_doc"
+        "doc_id", "text_hash", (F.col("first_doc") == F.col("doc_id")).alias("is_first"), (F.col("start") + F.col("lo")).alias("start_word"), (F.col("start") + F.col("hi")).alias("end_word"), "first_doc"
     )
-    each = each.groupBy("doc_id", "is_first", "start_word", "end_word").agg(F.min("first_doc").alias("first_doc"))
-    return merged(each, ["doc_id", "is_first"]).select("doc_id", "is_first", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+    each = each.groupBy("doc_id", "text_hash", "is_first", "start_word", "end_word").agg(F.min("first_doc").alias("first_doc"))
+    return merged(each, ["doc_id", "text_hash", "is_first"]).select("doc_id", "text_hash", "is_first", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
 #: Windows by brute force: every one is spelled out, so it is for small tables only.
 WINDOWS_SQL = f"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '{SPACE_CLASS}'), lambda x: x <> '') AS ws
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+  SELECT doc_id, text, list_filter(regexp_split_to_array(text, '{SPACE_CLASS}'), lambda x: x <> '') AS ws
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ), g AS (
-  SELECT doc_id, unnest(range(0, len(ws) - {LENGTH} + 1)) AS s, ws FROM w WHERE len(ws) >= {LENGTH}
+  SELECT doc_id, text, unnest(range(0, len(ws) - {LENGTH} + 1)) AS s, ws FROM w WHERE len(ws) >= {LENGTH}
 ), h AS (
-  SELECT doc_id, s, array_to_string(ws[s + 1 : s + {LENGTH}], ' ') AS gram FROM g
+  SELECT doc_id, text, s, array_to_string(ws[s + 1 : s + {LENGTH}], ' ') AS gram FROM g
 ), r AS (
   SELECT gram, min(doc_id) AS first_doc FROM h GROUP BY gram HAVING min(doc_id) < max(doc_id)
 ), p AS (
-  SELECT doc_id, first_doc = doc_id AS is_first, s AS a, s + {LENGTH} AS b, first_doc FROM h JOIN r USING (gram)
+  SELECT doc_id, text, first_doc = doc_id AS is_first, s AS a, s + {LENGTH} AS b, first_doc FROM h JOIN r USING (gram)
 ), q AS (
-  SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id, is_first ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS new FROM p
+  SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id, text, is_first ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS new FROM p
 ), i AS (
-  SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM q
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, text, is_first ORDER BY a ROWS UNBOUNDED PRECEDING) AS island FROM q
 ), spans AS (
-  SELECT doc_id, is_first, min(a)::BIGINT AS start_word, max(b)::BIGINT AS end_word, (max(b) - min(a))::BIGINT AS n_words, min(first_doc) AS first_doc_id
-  FROM i GROUP BY doc_id, is_first, island
+  SELECT doc_id, text, is_first, min(a)::BIGINT AS start_word, max(b)::BIGINT AS end_word, (max(b) - min(a))::BIGINT AS n_words, min(first_doc) AS first_doc_id
+  FROM i GROUP BY doc_id, text, is_first, island
 )
 """
-SPANS_SQL = WINDOWS_SQL + "SELECT * FROM spans"
+SPANS_SQL = WINDOWS_SQL + "SELECT * EXCLUDE (text) FROM spans"

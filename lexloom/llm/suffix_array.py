@@ -5,11 +5,13 @@ segment.  Its suffix array comes from induced sorting: suffixes are classified,
 leftmost-smaller (LMS) substrings are sorted by inducing and named, repeated names
 recurse, and the array is induced from the sorted LMS suffixes.  Inducing is linear and
 sequential by nature; here a *frontier* of slots that are already filled is induced at a
-time, which gives the same array with few vector operations.  Common prefixes are computed
+time, which gives the same array with few vector operations; where the frontier is short, as on runs of equal words, slot
+follows slot.  Common prefixes are computed
 in text order (permuted), each starting from the bound its left neighbour gives.
 
-Nulls: documents without id or text have no windows.  Empty and short texts have none.
-Repeated rows (the same doc_id) count as one document.  Only ``doc_id`` and ``text`` are
+Nulls: documents without id or text have no windows.  Empty and short texts have none.  Very long texts are handled whole, uniform
+ones too.  Repeated rows count once; rows of one doc_id with different texts are one document, with spans of each text.
+Ties: all spans of the first document are first.  Only ``doc_id`` and ``text`` are
 read, so other columns never clash.  An empty table gives an empty result.
 """
 
@@ -21,6 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import repeats
 
 _BLOCK = 1 << 15
+#: A frontier shorter than this is followed slot by slot, so many slots at a time.
+_FEW = 16
+_STRIDE = 512
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -49,6 +54,20 @@ def _place(heads: np.ndarray, chars: np.ndarray, step: int) -> np.ndarray:
     return slots
 
 
+def _follow(s: np.ndarray, stype: np.ndarray, order: np.ndarray, heads: np.ndarray, at: int, step: int) -> int:
+    """Induce from one slot after another, up to ``_STRIDE`` of them; the next place."""
+    end = min(len(order), at + _STRIDE) if step > 0 else max(0, at - _STRIDE)
+    while at != end:
+        before = order.item(at if step > 0 else at - 1) - 1
+        if before >= 0 and stype.item(before) == (step < 0):
+            c = s.item(before)
+            slot = heads.item(c)
+            order[slot] = before
+            heads[c] = slot + step
+        at += step
+    return at
+
+
 def _induce(s: np.ndarray, stype: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """The order of all suffixes, or of LMS substrings, from LMS suffixes in the given order."""
     n, sigma = len(s), int(s.max()) + 1
@@ -61,6 +80,9 @@ def _induce(s: np.ndarray, stype: np.ndarray, lms: np.ndarray) -> np.ndarray:
     heads, at = begin.copy(), 0
     while at < len(order):
         run = order[at : at + _BLOCK]
+        if len(run) > _FEW and (run[:_FEW] < 0).any():
+            at = _follow(s, stype, order, heads, at, 1)
+            continue
         gaps = run < 0
         stop = int(gaps.argmax())
         if gaps[stop]:
@@ -83,6 +105,9 @@ def _induce(s: np.ndarray, stype: np.ndarray, lms: np.ndarray) -> np.ndarray:
     tails[s[n - 1]] -= 1
     while at > 0:
         run = out[max(0, at - _BLOCK) : at]
+        if len(run) > _FEW and (run[-_FEW:] < 0).any():
+            at = _follow(s, stype, out, tails, at, -1)
+            continue
         gaps = run[::-1] < 0
         stop = int(gaps.argmax())
         if gaps[stop]:
@@ -201,7 +226,7 @@ def suffix_array_dedup(docs: DataFrame, length: int = repeats.LENGTH, gram: int
     """
     found = repeats.candidates(docs, length, gram, "suffix-array")
     rows = repeats.segments(docs, found)
-    return repeats.spans(found, repeats.in_shards(rows, repeated_windows, length))
+    return repeats.spans(found, repeats.in_shards(rows, repeated_windows, length)).drop("text_hash")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
