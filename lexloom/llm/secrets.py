@@ -7,11 +7,14 @@ ledger lacks, each blob once however many paths and versions hold it, appends wh
 and joins the ledger's findings back to all paths.  Findings are appended before scans, and
 are read as a set: a scan that broke off in between is simply repeated.
 
+Texts move only where they have to be scanned: a text without any hint of the rules can't hold a secret and is
+entered as scanned without being moved, and of the others those travel whose blob the ledger lacks.
+
 Secrets never leave a scan: findings carry their SHA-256.
 
 Nulls: rows without text have no blob and no findings; a null source or doc_id is an empty
-part of the path.  Empty texts are a blob without findings.  Repeated rows are one version.
-Only ``doc_id``, ``source`` and ``text`` are read, so other columns never clash.  An empty
+part of the path.  Empty texts are a blob without findings.  Very long texts are scanned whole.  Repeated rows are one version, scanned
+once.  Ties: of the paths of a blob the smallest lends its text.  Only ``doc_id``, ``source`` and ``text`` are read, so other columns never clash.  An empty
 table gives an empty result.
 """
 
@@ -20,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,7 +31,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from lexloom.storage import new_path
+from lexloom.storage import materialize, new_path
+
+from .sides import without
 
 
 @dataclass(frozen=True)
@@ -48,7 +53,7 @@ class Rule:
         return f"{self.name}@{self.version}"
 
 
-SQL_RULES = (
+FIRST_RULES = (
     Rule("assigned-credential", 1, r"""\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[ \t]*[=:][ \t]*["']?([A-Za-z0-9+/_-]{16,})""", ("token", "secret", "passw", "key"), True, True),
     Rule("aws-access-key", 1, r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", ("akia", "asia")),
     Rule("github-token", 1, r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
@@ -62,20 +67,35 @@ SQL_RULES = (
 #: Keywords at the end of a longer name (DB_PASSWORD, accessToken), which assigned-credential leaves out; a rule of its
 #: own, so that its findings are none of that rule's version 1.
 RULES = (
-    *SQL_RULES,
-    Rule("named-credential", 1, SQL_RULES[0].pattern.replace(r"\b", r"\B", 1), SQL_RULES[0].hints, True, True),
+    *FIRST_RULES,
+    Rule("named-credential", 1, FIRST_RULES[0].pattern.replace(r"\b", r"\B", 1), FIRST_RULES[0].hints, True, True),
 )
 
 FINDINGS = "blob_id string, rule string, rule_version int, fingerprint string, n_matches int"
 SCANS = "blob_id string, rules array<string>"
 
 
+def may_hold(low: str, hints: Iterable[str]) -> bool:
+    """Whether a lower-cased text holds a hint."""
+    return any(h in low for h in hints)
+
+
+def _hinted(rules: Sequence[Rule]):
+    hints = sorted({h for r in rules for h in r.hints})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([may_hold(text.as_py().lower(), hints) for text in batch.column(1)], pa.bool_()))
+
+    return run
+
+
 def find_secrets(text: str, rules: Sequence[Rule]) -> list[tuple[str, int, str, int]]:
     """(rule, version, fingerprint, matches) of a text."""
     out = []
     low = text.lower()
     for rule in rules:
-        if not any(h in low for h in rule.hints):
+        if not may_hold(low, rule.hints):
             continue
         found = Counter(m.group(1) for m in re.finditer(rule.pattern, text, re.ASCII | (re.IGNORECASE if rule.ignore_case else 0)))
         for secret, n in found.items():
@@ -125,16 +145,20 @@ def update_ledger(docs: DataFrame, ledger: str, rules: Sequence[Rule] = RULES) -
     """Scan what the ledger lacks; returns the blobs of all versions: (doc_id, path, blob_id)."""
     spark = docs.sparkSession
     held = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), path_of(docs).alias("path"), F.col("text").cast("string").alias("text"))
-    held = held.withColumn("blob_id", blob_id(F.col("text")))
-    refs = held.select("doc_id", "path", "blob_id").distinct()
+    refs = materialize(held.select("doc_id", "path", blob_id(F.col("text")).alias("blob_id")).distinct(), "secret-refs")
     seen = _read(spark, f"{ledger}/scans", SCANS).groupBy("blob_id").agg(F.flatten(F.collect_set("rules")).alias("rules"))
     keys = F.array(*(F.lit(r.key) for r in rules))
     blobs = refs.groupBy("blob_id").agg(F.min("path").alias("path")).join(seen, "blob_id", "left")
-    blobs = blobs.select("blob_id", "path", F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
-    unseen = held.select("blob_id", "path", "text").join(blobs.hint("shuffle_hash"), ["blob_id", "path"]).select("blob_id", "text", "todo")
+    todo = F.array_except(keys, F.coalesce("rules", F.array().cast("array<string>")))
+    blobs = materialize(blobs.select("blob_id", "path", todo.alias("todo")).where(F.size("todo") > 0), "secret-unseen")
+    # one row lends its text to all paths of a blob, repeated rows too
+    asked = {r[0] for r in blobs.select(F.explode("todo")).distinct().collect()}
+    texts = held.select("path", "text").mapInArrow(_hinted([r for r in rules if r.key in asked]), "path string, text string")
+    texts = texts.select("path", blob_id(F.col("text")).alias("blob_id"), "text")
+    unseen = texts.join(blobs, ["blob_id", "path"]).groupBy("blob_id").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     unseen.mapInArrow(_scan(rules), FINDINGS).write.mode("append").parquet(f"{ledger}/findings")
     blobs.select("blob_id", F.col("todo").alias("rules")).write.mode("append").parquet(f"{ledger}/scans")
-    return refs
+    return refs.select("doc_id", "path", "blob_id")
 
 
 def secret_scan(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -151,17 +175,21 @@ def secret_scan(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule
 
 def drop_secrets(docs: DataFrame, ledger: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Documents without a finding; all columns and other rows stay, those without text too."""
-    bad = secret_scan(docs, ledger, rules).select(F.col("blob_id").alias("__bad")).distinct()
-    return docs.join(bad, blob_id(docs["text"].cast("string")) == bad["__bad"], "left_anti")
+    bad = secret_scan(docs, ledger, rules).select("blob_id").distinct()
+    return without(docs, blob_id(docs["text"].cast("string")), bad)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """A ledger filled by ``FIRST_RULES`` is brought up to ``RULES``: the second scan looks only at the pairs that are new."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ledger = new_path(spark, "secret-ledger")
+    update_ledger(docs, ledger, FIRST_RULES)
+    return secret_scan(docs, ledger, RULES)
 
 
 def _sql() -> str:
     parts = []
-    for r in SQL_RULES:
+    for r in RULES:
         pattern = r.pattern.replace("'", "''")
         parts.append(
             f"SELECT blob_id, '{r.name}' AS rule, {r.version}::INT AS rule_version, unnest(regexp_extract_all(text, '{pattern}', 1, '{'i' if r.ignore_case else 'c'}')) AS secret, {str(r.mixed).upper()} AS mixed FROM b"
