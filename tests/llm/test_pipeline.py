@@ -30,6 +30,34 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, packed.collect()))
 
 
+def run_over(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_empty_table(spark, tmp_path):
+    assert run_over(spark, tmp_path, spark.read.parquet(f"{SF}/documents.parquet").limit(0)) == []
+
+
+def test_edge_cases(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, window_id int, content string, `__out` int, blob_id int"
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").orderBy("item_id").first().text
+    words = lambda p, n: " ".join(f"{p}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{p}" for k in range(n))
+    texts = [
+        (100, words("the", 40), "en"), (101, words("the", 40), "en"), (102, words("ing", 30), "en"), (102, words("ing", 30), "en"), (103, None, "en"), (104, "", "en"), (105, "123 !", None),
+        (None, words("and", 30), "en"), (106, f"{words('wh', 20)} {passage} {words('oo', 20)}", "en"), (107, f"{words('on', 25)} token = 0123456789abcdef0123456789abcdef", "en"), (108, words("long", 30000), "en"),
+        *((200 + k, f"{words('der', 20 + k)} {words('sch', 9 + k)}", "de") for k in range(3)), (109, words("of", 35), "en"), (109, words("or", 35), "en"),
+    ]
+    rows = [(i, t, lang, "s", None if t is None else len(t), None, None, None, None) for i, t, lang in texts]
+    got = run_over(spark, tmp_path, spark.createDataFrame(rows, schema))
+    ids = {r.doc_id for r in got}
+    assert {100, 102, 108, 109} <= ids and not ids & {101, 103, 104, 105, 106, 107, None}
+    assert sum(r.end_word - r.start_word for r in got if r.doc_id == 108) == 30000
+    assert sum(r.end_word - r.start_word for r in got if r.doc_id == 102) == 30
+    assert sum(r.end_word - r.start_word for r in got if r.doc_id == 109) == 70
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
