@@ -1,6 +1,7 @@
 """Registered queries over the library's own operators, with their DuckDB SQL.
 
-All run over the whole ``documents`` table, tokenized at white space.
+All run over the whole ``documents`` table, tokenized at white space.  The first query of a session writes the index to
+the shared folder, the others open it.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from . import expr as X
 from . import search
 from .functions import columns, markup, stemmers
-from .operators.index import FieldSpec, Index, IndexSchema, build_index
+from .operators.index import Index, IndexSchema, build_index, open_index, write_index
 from .plans import compiler
+from .storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +34,29 @@ v AS (SELECT term, count(*)::DOUBLE AS df, sum(tf)::DOUBLE AS cf FROM p GROUP BY
 """
 
 
-def _index(spark: SparkSession, sf_dir: str, *extra: tuple[str, FieldSpec]) -> Index:
-    schema = IndexSchema().declare("text")
-    for name, spec in extra:
-        schema.declare(name, spec)
+#: Opened indexes by application and folder of tables.
+_OPENED: dict[tuple[str, str], Index] = {}
+
+
+def _lazy(spark: SparkSession, sf_dir: str) -> Index:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return build_index(docs.withColumn("name", F.concat_ws("-", "source", "doc_id")), schema, name="name")
+    return build_index(docs.withColumn("name", F.concat_ws("-", "source", "doc_id")), SCHEMA, name="name")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _OPENED:
+        path = new_path(spark, "index", keep=True)
+        write_index(_lazy(spark, sf_dir), path)
+        _OPENED[key] = open_index(spark, path)
+    return _OPENED[key]
+
+
+def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write an index of its own and open it: size of its vocabulary by field."""
+    path = new_path(spark, "index-build")
+    write_index(_lazy(spark, sf_dir), path)
+    return open_index(spark, path).vocabulary().groupBy("field").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("occurrences"))
 
 
 def _t(term: str) -> X.Text:
@@ -48,9 +67,9 @@ def _b(term: str, **options) -> X.BM25:
     return X.BM25(_t(term), **options)
 
 
-def _scored(expr: X.Node, *extra: tuple[str, FieldSpec], top: int | None = None) -> Query:
+def _scored(expr: X.Node, top: int | None = None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = _index(spark, sf_dir, *extra)
+        index = _index(spark, sf_dir)
         found = search.search(index, expr, top) if top else compiler.scores(index, expr)
         return found.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -65,8 +84,8 @@ def _counted(expr: X.Node) -> Query:
     return lambda spark, sf_dir: compiler.counts(_index(spark, sf_dir), expr)
 
 
-def _table(of: Callable[[Index], DataFrame], *extra: tuple[str, FieldSpec]) -> Query:
-    return lambda spark, sf_dir: of(_index(spark, sf_dir, *extra))
+def _table(of: Callable[[Index], DataFrame]) -> Query:
+    return lambda spark, sf_dir: of(_index(spark, sf_dir))
 
 
 def _bm25(tf: str, df: str, k: float = 1.2, b: float = 0.75, n: str = "st.n", cl: str = "st.cl") -> str:
@@ -122,9 +141,8 @@ def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
-    stems = stemmers.stem_vocabulary(index.postings, stemmers.porter2)
-    view = index.with_stems(stems, "porter", "text")
-    return view.postings.where("stemmer = 'porter'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
+    stems = stemmers.stem_vocabulary(index.vocabulary().where("field = 'text'"), stemmers.porter2)
+    return index.stem_counts(stems, "text")
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +152,8 @@ def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compiler.scores(index, X.FloatParam("quality", 0.25))
 
 
-_LONG = ("n_chars", FieldSpec("dense_int"))
-_LANG = ("lang", FieldSpec("categorical"))
+SCHEMA = IndexSchema().declare("text").declare("lang", "categorical", stored=True).declare("n_chars", "dense_int")
+_TEXT = "field = 'text'"
 _STATS = X.CountStats(5000, 400, 1_000_000, 2000)
 
 
@@ -143,15 +161,15 @@ def queries() -> dict[str, Query]:
     return {
         "bm25_topk": _scored(X.Combine(tuple(map(_b, TERMS)), (1.0,) * 3), top=1000),
         "tokenize_terms": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", columns.whitespace_tokens("text").alias("terms")),
-        "term_freq": _table(lambda i: i.postings.select("term", "doc_id", "tf")),
-        "term_positions": _table(lambda i: i.postings.select("term", "doc_id", "positions")),
+        "term_freq": _table(lambda i: i.postings.where(_TEXT).select("term", "doc_id", "tf")),
+        "term_positions": _table(lambda i: i.postings.where(_TEXT).select("term", "doc_id", "positions")),
         "term_docs": _table(lambda i: i.postings_of("of", "text", "Docs")),
         "doc_lengths": _table(lambda i: i.lengths_of("text")),
-        "vocab_df_cf": _table(lambda i: i.vocabulary().select("term", "df", "cf", "max_tf")),
+        "vocab_df_cf": _table(lambda i: i.vocabulary().where(_TEXT).select("term", "df", "cf", "max_tf")),
         "term_list": _table(lambda i: i.terms("text")),
         "field_stats": _table(lambda i: i.field_stats().withColumn("average_length", F.round("average_length", 6))),
-        "minmax_len_per_term": _table(lambda i: i.term_lengths().select("term", "min_length", "max_length")),
-        "categorical_docs": _table(lambda i: i.postings_of("en", "lang", "Docs"), _LANG),
+        "minmax_len_per_term": _table(lambda i: i.term_lengths().where(_TEXT).select("term", "min_length", "max_length")),
+        "categorical_docs": _table(lambda i: i.postings_of("en", "lang", "Docs")),
         "name_lookup": _table(lambda i: i.documents.select("doc_id", "name")),
         "match_and": _matched(X.And((_t("the"), _t("of")))),
         "match_or": _matched(X.Or((_t("de"), _t("und")))),
@@ -179,13 +197,21 @@ def queries() -> dict[str, Query]:
         "synonym": _counted(X.Synonym((_t("the"), _t("of")))),
         "synonym_bm25": _scored(X.BM25(X.Synonym((_t("the"), _t("of"))))),
         "phrase_bm25": _scored(X.BM25(X.phrase("of", "the", field="text"))),
-        "long_param": _scored(X.LongParam("n_chars", -1), _LONG),
+        "long_param": _scored(X.LongParam("n_chars", -1)),
         "float_param": _sparse,
         "lengths": _counted(X.Lengths("text")),
         "batch_topk": _batch,
         "entity_skip": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", columns.skip_entities("text").alias("text")),
-        "position_gaps": _table(lambda i: i.postings.select("term", "doc_id", columns.gaps("positions").alias("gaps"))),
+        "position_gaps": _table(lambda i: i.postings.where(_TEXT).select("term", "doc_id", columns.gaps("positions").alias("gaps"))),
         "unicode_tokens": lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", columns.unicode_tokens("text").alias("terms")),
+        "index_build": _build,
+        "stored_fields": _table(lambda i: i.documents.select("doc_id", "name", "lang", "n_chars")),
+        "lookup_id": _table(lambda i: i.documents.join(i.documents.agg(F.max("name").alias("name")), "name").select("name", "doc_id")),
+        "ungap_positions": _table(lambda i: i.postings.where(_TEXT).select("term", "doc_id", columns.ungap(columns.gaps("positions")).alias("positions"))),
+        "total_scored": _table(lambda i: compiler.scores(i, X.Combine((_b("the"), _b("de")), (1.0, 1.0))).agg(F.count("*").alias("total"))),
+        "df_estimate": _table(lambda i: search.estimate_df(i, X.Or((_t("the"), _t("of"))))),
+        "docs_level": _table(lambda i: build_index(i.documents, IndexSchema().declare("lang", "textual", level="Docs")).postings.select("term", "doc_id", "tf")),
+        "nested_window": _counted(X.OrderedWindow((X.UnorderedWindow((_t("of"), _t("the")), 4), _t("and")), 6)),
         "explain": _explained,
         "markup_tokens": _markup,
         "porter_vocabulary": _stemmed,
@@ -249,5 +275,17 @@ def oracle_sql() -> dict[str, str]:
           r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
         "entity_skip": "SELECT doc_id, regexp_replace(text, '&[a-z0-9#]*;', ' ', 'g') AS text FROM documents",
         "position_gaps": f"{_BASE} SELECT term, doc_id, list_transform(positions, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE positions[i - 1] END)::INT) AS gaps FROM p",
+        "index_build": f"{_BASE} SELECT 'text' AS field, count(DISTINCT term)::BIGINT AS terms, count(*)::BIGINT AS postings, sum(tf)::BIGINT AS occurrences FROM p UNION ALL SELECT 'lang', count(DISTINCT lang), count(*), count(*) FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL",
+        "stored_fields": "SELECT doc_id, concat_ws('-', source, doc_id::VARCHAR) AS name, lang, coalesce(n_chars, 0)::BIGINT AS n_chars FROM documents WHERE doc_id IS NOT NULL",
+        "lookup_id": "WITH n AS (SELECT doc_id, concat_ws('-', source, doc_id::VARCHAR) AS name FROM documents WHERE doc_id IS NOT NULL) SELECT name, doc_id FROM n WHERE name = (SELECT max(name) FROM n)",
+        "ungap_positions": f"{_BASE} SELECT term, doc_id, list_transform(positions, lambda x: x::BIGINT) AS positions FROM p",
+        "total_scored": f"{_BASE} SELECT count(DISTINCT doc_id)::BIGINT AS total FROM p WHERE term IN ('the', 'de')",
+        "df_estimate": f"{_BASE} SELECT max(df)::BIGINT AS low, sum(df)::BIGINT AS high FROM v WHERE term IN ('the', 'of')",
+        "docs_level": "SELECT lower(lang) AS term, doc_id, 1::INT AS tf FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL",
+        "nested_window": _window_sql(
+            "EXISTS (SELECT 1 FROM tokens e WHERE e.doc_id = a.doc_id AND e.term = 'and' AND e.pos > a.pos AND e.pos - a.pos <= 6) AND "
+            + " AND ".join(f"EXISTS (SELECT 1 FROM tokens t WHERE t.doc_id = a.doc_id AND t.term = '{t}' AND t.pos >= a.pos AND t.pos < a.pos + 4)" for t in ("of", "the")),
+            "SELECT doc_id, pos FROM tokens WHERE term IN ('of', 'the')",
+        ),
         "unicode_tokens": "SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS terms FROM documents",
     }

@@ -1,7 +1,11 @@
-"""Native Column functions: tokenizers, positions and gaps; all stay inside the JVM."""
+"""Column functions: tokenizers and gaps stay inside the JVM, windows of positions are one sorted pass over Arrow arrays."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,37 +41,63 @@ def gaps(sorted_values: Column | str) -> Column:
 
 
 def ungap(differences: Column | str) -> Column:
-    """The inverse of :func:`gaps`."""
-    d = _column(differences)
-    return F.transform(d, lambda _, i: F.aggregate(F.slice(d, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    """The inverse of :func:`gaps`, in one pass."""
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+
+    def step(held: Column, d: Column) -> Column:
+        at = held["at"] + d
+        return F.struct(at.alias("at"), F.concat(held["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(_column(differences), start, step, lambda held: held["out"])
+
+
+#: Rows are told apart by what lies above the bits of a position.
+_ROW = 32
+
+
+def _keys(lists: pa.Array) -> np.ndarray:
+    """(row, position) of sorted lists as sorted integers; null lists are empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return (np.repeat(np.arange(len(lists)), sizes) << _ROW) + lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(keys: np.ndarray, n: int) -> pa.Array:
+    offsets = np.searchsorted(keys >> _ROW, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((keys & ((1 << _ROW) - 1)).astype(np.int32)))
+
+
+def _passed(of: Callable[[list[np.ndarray]], np.ndarray], columns: list[Column]) -> Column:
+    def run(*lists: pa.Array) -> pa.Array:
+        return _lists(of([_keys(own) for own in lists]), len(lists[0]))
+
+    return F.arrow_udf(run, "array<int>")(*columns)
 
 
 def ordered_starts(positions: list[Column], step: int) -> Column:
     """Positions of the first child from which a chain reaches the last, each within ``step`` of the one before."""
-    good = positions[-1]
-    for own in reversed(positions[:-1]):
-        good = _reaching(own, good, step)
-    return good
 
+    def of(own: list[np.ndarray]) -> np.ndarray:
+        good = own[-1]
+        for keys in reversed(own[:-1]):
+            after = np.append(good, np.iinfo(np.int64).max)[np.searchsorted(good, keys, "right")]
+            good = keys[after - keys <= step]
+        return good
 
-def _reaching(own: Column, later: Column, step: int) -> Column:
-    return F.filter(own, lambda p: F.exists(later, lambda q: (q > p) & (q - p <= step)))
+    return _passed(of, positions)
 
 
 def unordered_starts(positions: list[Column], width: int) -> Column:
     """Positions of any child with every child at that position or in the ``width - 1`` after it."""
-    every = F.array_sort(F.array_distinct(F.concat(*positions)))
-
-    def near(s: Column) -> Column:
-        return _all(*(F.exists(own, lambda p: (p >= s) & (p < s + width)) for own in positions))
-
-    return F.filter(every, near)
 
+    def of(own: list[np.ndarray]) -> np.ndarray:
+        every = np.unique(np.concatenate(own))
+        for keys in own:
+            after = np.append(keys, np.iinfo(np.int64).max)[np.searchsorted(keys, every)]
+            every = every[after - every < width]
+        return every
 
-def _all(first: Column, *rest: Column) -> Column:
-    for c in rest:
-        first = first & c
-    return first
+    return _passed(of, positions)
 
 
 def sort_tags(tags: Column | str) -> Column:

@@ -2,28 +2,32 @@
 
 ``postings(field, stemmer, term, doc_id, tf, positions)``, ``lengths(field, doc_id, length)``
 (one row for every document, empty ones too), ``documents`` (doc_id, name, stored fields).
-An index in memory is lazy: the tables are plans over the source, so a query that filters
-on terms prunes before anything is grouped.  A written index is partitioned by stemmer and
-field and sorted by term, so that term filters skip row groups.
+A document is one row, so its counts and positions are made inside the row, in one Arrow pass without a shuffle; doc_ids
+have to be unique.  An index in memory is lazy: the tables are plans over the source.  A written index is partitioned by stemmer and
+field and sorted by term, so that term filters skip files, row groups and pages; it holds its vocabulary and the statistics of its
+fields as tables of their own, so a query never counts the collection.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import BadFormatError, LexloomError, MissingFieldError
 from ..fields import Field
-from ..functions import columns
+from ..functions import columns, markup
+from ..storage import materialize
 
 POSTINGS = ("stemmer", "field", "term", "doc_id", "tf", "positions")
 LEVELS = ("Docs", "Counts", "Positions")
-TOKENIZERS: dict[str, Callable[[Column], Column]] = {"whitespace": columns.whitespace_tokens, "unicode": columns.unicode_tokens}
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"whitespace": columns.whitespace_tokens, "unicode": columns.unicode_tokens, "markup": markup.markup_terms}
 
 
 def register_tokenizer(name: str, function: Callable[[Column], Column]) -> None:
@@ -84,10 +88,32 @@ def _tokens(docs: DataFrame, name: str, spec: FieldSpec) -> DataFrame:
     return docs.select("doc_id", terms.alias("terms"))
 
 
+def _inverted(level: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column(1)
+            sizes = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = terms.flatten().dictionary_encode()
+            width = max(len(coded.dictionary), 1)
+            key = np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False)
+            position = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            bounds = np.append(first, len(key)).astype(np.int32)
+            tf = np.ones(len(first), np.int32) if level == "Docs" else np.diff(bounds)
+            where = pa.ListArray.from_arrays(pa.array(bounds), pa.array(position[order].astype(np.int32))) if level == "Positions" else pa.nulls(len(first), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(key[first] % width)).cast(pa.string()), batch.column(0).take(pa.array(key[first] // width)), pa.array(tf), where], names=["term", "doc_id", "tf", "positions"]
+            )
+
+    return run
+
+
 def invert(tokens: DataFrame, name: str, level: str = "Positions", stemmer: str = "") -> DataFrame:
-    """Postings of (doc_id, terms)."""
-    each = tokens.select("doc_id", F.posexplode("terms").alias("position", "term"))
-    return invert_tokens(each, name, level, stemmer)
+    """Postings of (doc_id, terms), one row for each document."""
+    found = tokens.select("doc_id", "terms").mapInArrow(_inverted(level), "term string, doc_id long, tf int, positions array<int>")
+    return found.select(F.lit(stemmer).alias("stemmer"), F.lit(name).alias("field"), "term", "doc_id", "tf", "positions")
 
 
 def invert_tokens(each: DataFrame, name: str, level: str = "Positions", stemmer: str = "") -> DataFrame:
@@ -111,6 +137,9 @@ class Index:
     documents: DataFrame
     fields: tuple[Field, ...]
     schema: IndexSchema | None = None
+    #: vocabulary and statistics of fields where they are stored
+    stored_vocabulary: DataFrame | None = None
+    stored_stats: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -138,6 +167,8 @@ class Index:
 
     def field_stats(self) -> DataFrame:
         """For each field: documents, those not empty, total, mean, shortest, longest, and last doc_id."""
+        if self.stored_stats is not None:
+            return self.stored_stats
         n = F.col("length")
         return self.lengths.groupBy("field").agg(
             F.count("*").alias("document_count"), F.count_if(n > 0).alias("nonzero"), F.sum(n.cast("long")).alias("collection_length"),
@@ -146,6 +177,8 @@ class Index:
 
     def vocabulary(self) -> DataFrame:
         """For each term: document and collection frequency, and the largest count in a document."""
+        if self.stored_vocabulary is not None:
+            return self.stored_vocabulary
         return self.postings.groupBy("stemmer", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"), F.max("tf").alias("max_tf"))
 
     def term_lengths(self) -> DataFrame:
@@ -156,7 +189,13 @@ class Index:
     def terms(self, name: str | None = None) -> DataFrame:
         """All terms of a field in byte order."""
         f = self.field(name)
-        return self.postings.where((F.col("stemmer") == f.stemmer) & (F.col("field") == f.name)).select("term").distinct().orderBy("term")
+        return self.vocabulary().where((F.col("stemmer") == f.stemmer) & (F.col("field") == f.name)).select("term").orderBy("term")
+
+    def stem_counts(self, stems: DataFrame, name: str = "document") -> DataFrame:
+        """(term, df, cf) of stems, from (term, stem); positions aren't read."""
+        base = self.postings.where((F.col("stemmer") == "") & (F.col("field") == name)).select("term", "doc_id", "tf")
+        joined = base.join(stems, "term", "left").groupBy(F.coalesce("stem", "term").alias("term"), "doc_id").agg(F.sum("tf").cast("long").alias("tf"))
+        return joined.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def lookup_id(self, name: str) -> DataFrame:
         return self.documents.where(F.col("name") == name).select("name", "doc_id")
@@ -173,7 +212,7 @@ class Index:
         joined = base.join(stems, "term", "left").withColumn("term", F.coalesce("stem", "term"))
         merged = joined.groupBy("field", "term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
         more = merged.withColumn("stemmer", F.lit(stemmer)).select(*POSTINGS)
-        return replace(self, postings=self.postings.unionByName(more), fields=tuple(sorted({*self.fields, Field(name, stemmer)})))
+        return replace(self, postings=self.postings.unionByName(more), fields=tuple(sorted({*self.fields, Field(name, stemmer)})), stored_vocabulary=None)
 
     def cache(self) -> Index:
         """Keep the tables in executor memory and disk for many queries."""
@@ -217,14 +256,21 @@ def _union(parts: Iterable[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found) if found else empty
 
 
+STATISTICS = "field string, document_count long, nonzero long, collection_length long, min_length int, max_length int, max_doc_id long"
+
+
 def write_index(index: Index, path: str, segment: int = 0) -> None:
-    """Write or append a segment; segments have documents of their own."""
+    """Write or append a segment; segments have documents of their own.
+
+    Postings are computed once; the vocabulary and the statistics come from what was stored.
+    """
     tagged = lambda df: df.withColumn("segment", F.lit(segment))
-    vocabulary = index.vocabulary()
-    for table, df, keys in (("postings", index.postings, ["stemmer", "field", "term", "doc_id"]), ("vocabulary", vocabulary, ["stemmer", "field", "term"])):
+    held = replace(index, postings=materialize(index.postings, "index-postings"), lengths=materialize(index.lengths, "index-lengths"), stored_vocabulary=None, stored_stats=None)
+    for table, df, keys in (("postings", held.postings, ["stemmer", "field", "term", "doc_id"]), ("vocabulary", held.vocabulary(), ["stemmer", "field", "term"])):
         ranged = df.repartitionByRange(*keys[:3]).sortWithinPartitions(*keys)
         tagged(ranged).write.mode("append").partitionBy("segment", "stemmer", "field").parquet(f"{path}/{table}")
-    tagged(index.lengths).write.mode("append").partitionBy("segment", "field").parquet(f"{path}/lengths")
+    tagged(held.lengths).write.mode("append").partitionBy("segment", "field").parquet(f"{path}/lengths")
+    tagged(held.field_stats().select(*(c.split()[0] for c in STATISTICS.split(", ")))).coalesce(1).write.mode("append").partitionBy("segment").parquet(f"{path}/statistics")
     tagged(index.documents).write.mode("append").partitionBy("segment").parquet(f"{path}/documents")
     meta = json.dumps({"schema": json.loads(index.schema.to_json()) if index.schema else {}, "fields": [[f.name, f.stemmer] for f in index.fields]})
     index.spark.createDataFrame([(segment, meta)], "segment int, meta string").coalesce(1).write.mode("append").parquet(f"{path}/meta")
@@ -238,6 +284,12 @@ def open_index(spark: SparkSession, path: str) -> Index:
     meta = json.loads(metas.pop())
     # partition values are read as text: a stemmer of '' comes back as null
     read = lambda t: spark.read.parquet(f"{path}/{t}")
-    postings = read("postings").withColumn("stemmer", F.coalesce(F.col("stemmer").cast("string"), F.lit(""))).withColumn("field", F.col("field").cast("string")).select(*POSTINGS)
+    named = lambda df: df.withColumn("stemmer", F.coalesce(F.col("stemmer").cast("string"), F.lit(""))).withColumn("field", F.col("field").cast("string"))
     lengths = read("lengths").withColumn("field", F.col("field").cast("string")).select("field", "doc_id", "length")
-    return Index(postings, lengths, read("documents").drop("segment"), tuple(Field(n, s) for n, s in meta["fields"]), IndexSchema({n: FieldSpec(**s) for n, s in meta["schema"].items()}))
+    sums = named(read("vocabulary")).groupBy("stemmer", "field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
+    stats = spark.read.schema(f"{STATISTICS}, segment int").parquet(f"{path}/statistics").groupBy("field").agg(
+        F.sum("document_count").alias("document_count"), F.sum("nonzero").alias("nonzero"), F.sum("collection_length").alias("collection_length"),
+        (F.sum("collection_length") / F.sum("document_count")).alias("average_length"), F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"), F.max("max_doc_id").alias("max_doc_id"),
+    )
+    fields, schema = tuple(Field(n, s) for n, s in meta["fields"]), IndexSchema({n: FieldSpec(**s) for n, s in meta["schema"].items()})
+    return Index(named(read("postings")).select(*POSTINGS), lengths, read("documents").drop("segment"), fields, schema, sums, stats)

@@ -40,6 +40,8 @@ class Plan:
     #: counted nodes whose collection statistics are needed
     stats: dict[int, tuple[X.Node, str]] = field(default_factory=dict)
     params: set[str] = field(default_factory=set)
+    #: windows, inner ones first, and the column of each
+    windows: dict[int, tuple[X.Node, str]] = field(default_factory=dict)
 
     # -- what the tree needs
 
@@ -67,6 +69,8 @@ class Plan:
         inside = windowed or isinstance(node, (X.OrderedWindow, X.UnorderedWindow))
         for c in node.children_of():
             self.collect(c, inside)
+        if isinstance(node, X.OrderedWindow) and node.children or isinstance(node, X.UnorderedWindow) and node.children and node.width is not None:
+            self.windows.setdefault(id(node), (node, f"win{len(self.windows)}"))
 
     def length(self, name: str | None) -> str:
         f = Field.parse(name).name
@@ -95,13 +99,13 @@ class Plan:
             return F.coalesce(F.col(f"pos{self.terms[self.index.field(node.field), node.term]}"), none)
         if isinstance(node, X.Synonym):
             return F.array_sort(F.array_distinct(F.concat(*map(self.positions, node.children)))) if node.children else none
-        if isinstance(node, X.OrderedWindow):
-            return ordered_starts([self.positions(c) for c in node.children], node.step) if node.children else none
-        if isinstance(node, X.UnorderedWindow):
+        if id(node) in self.windows:
+            return F.coalesce(F.col(self.windows[id(node)][1]), none)
+        if isinstance(node, (X.OrderedWindow, X.UnorderedWindow)):
             if not node.children:
                 return none
             own = [self.positions(c) for c in node.children]
-            return unordered_starts(own, node.width) if node.width is not None else F.when(_every([F.size(o) > 0 for o in own]), F.array_sort(F.array_distinct(F.concat(*own)))).otherwise(none)
+            return F.when(_every([F.size(o) > 0 for o in own]), F.array_sort(F.array_distinct(F.concat(*own)))).otherwise(none)
         raise LexloomError(f"{type(node).__name__} has no positions")
 
     def length_of(self, name: str | None) -> Column:
@@ -195,7 +199,12 @@ class Plan:
             out.append(F.sum(F.when(is_it, F.col("tf"))).alias(f"tf{k}"))
             if k in self.with_positions:
                 out.append(F.first(F.when(is_it, F.col("positions")), ignorenulls=True).alias(f"pos{k}"))
-        return self.index.postings.where(wanted).groupBy("doc_id").agg(*out)
+        found = self.index.postings.where(wanted).groupBy("doc_id").agg(*out)
+        # each window is computed once, however often the tree refers to it
+        for node, name in self.windows.values():
+            own = [self.positions(c) for c in node.children]
+            found = found.withColumn(name, ordered_starts(own, node.step) if isinstance(node, X.OrderedWindow) else unordered_starts(own, node.width))
+        return found
 
     def statistics(self, counted: DataFrame) -> DataFrame | None:
         """One row: collection statistics of all counted nodes and fields."""
@@ -207,7 +216,8 @@ class Plan:
         if wanted:
             out = counted.agg(*wanted)
         for f, name in self.length_fields.items():
-            own = self.index.lengths.where(F.col("field") == f).agg(F.count("*").alias(f"{name}_n"), F.coalesce(F.sum(F.col("length").cast("long")), F.lit(0)).alias(f"{name}_cl"))
+            known = self.index.field_stats().where(F.col("field") == f)
+            own = known.agg(F.coalesce(F.sum("document_count"), F.lit(0)).alias(f"{name}_n"), F.coalesce(F.sum("collection_length"), F.lit(0)).alias(f"{name}_cl"))
             out = own if out is None else out.crossJoin(own)
         return out
 

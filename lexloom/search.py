@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import expr as X
+from .errors import LexloomError
 from .functions.columns import whitespace_tokens
-from .operators.index import Index
+from .functions.markup import tokenize_to_terms
+from .operators.index import TOKENIZERS, Index
 from .plans import compiler
+from .storage import materialize
 
 TOP = 1000
 
@@ -28,24 +33,54 @@ def search(index: Index, query: X.Node | list[str], k: int = TOP, raw_counts: bo
     return top(compiler.scores(index, query, raw_counts), k)
 
 
-def search_text(index: Index, text: str, k: int = TOP, field: str | None = None) -> DataFrame:
-    """Free text: white-space terms, BM25 of each, added up."""
-    terms = [t for t in text.lower().split() if t]
-    return search(index, X.bag_of_words(terms, field), k)
+def query_terms(index: Index, text: str, field: str | None = None, markup: bool = True) -> list[str]:
+    """Terms of a free-text query: by the markup tokenizer, or as the field's own tokenizer splits."""
+    if markup:
+        return tokenize_to_terms(text)
+    spec = index.schema.fields.get(index.field(field).name) if index.schema else None
+    tokens = TOKENIZERS[spec.tokenizer if spec else "whitespace"]
+    return list(index.spark.createDataFrame([(text,)], "text string").select(tokens(F.col("text")).alias("terms")).first()["terms"] or [])
+
+
+def search_text(index: Index, text: str, k: int = TOP, field: str | None = None, markup: bool = False) -> DataFrame:
+    """Free text: terms, BM25 of each, added up."""
+    return search(index, X.bag_of_words(query_terms(index, text, field, markup), field), k)
+
+
+def search_counted(index: Index, query: X.Node | list[str], k: int = TOP) -> tuple[DataFrame, int]:
+    """The k best documents, and how many were scored in all."""
+    if isinstance(query, list):
+        query = X.bag_of_words(query)
+    scored = materialize(compiler.scores(index, query), "search-scored")
+    return top(scored, k), scored.count()
+
+
+def estimate_df(index: Index, node: X.Node) -> DataFrame:
+    """(low, high): bounds of how many documents a counted node or filter matches, from the vocabulary alone."""
+    terms = {(index.field(n.field), n.term) for n in X.walk(node) if isinstance(n, X.Text)}
+    wanted = reduce(Column.__or__, ((F.col("stemmer") == f.stemmer) & (F.col("field") == f.name) & (F.col("term") == t) for f, t in terms), F.lit(False))
+    df = F.coalesce("df", F.lit(0))
+    every = [F.coalesce(F.max(F.when((F.col("stemmer") == f.stemmer) & (F.col("field") == f.name) & (F.col("term") == t), df)), F.lit(0)) for f, t in sorted(terms)]
+    if isinstance(node, (X.Text, X.And, X.OrderedWindow, X.UnorderedWindow)) and all(isinstance(c, X.Text) for c in node.children_of()) and every:
+        low = every[0] if isinstance(node, X.Text) else F.lit(0).cast("long")
+        return index.vocabulary().where(wanted).agg(low.alias("low"), (F.least(*every) if len(every) > 1 else every[0]).alias("high"))
+    if isinstance(node, (X.Or, X.Synonym)) and all(isinstance(c, X.Text) for c in node.children_of()) and every:
+        return index.vocabulary().where(wanted).agg((F.greatest(*every) if len(every) > 1 else every[0]).alias("low"), reduce(Column.__add__, every).alias("high"))
+    raise LexloomError(f"no estimate for {type(node).__name__}")
 
 
 def search_batch(index: Index, queries: DataFrame, k: int = TOP, field: str | None = None, b: float = compiler.B, k1: float = compiler.K, tokens=whitespace_tokens) -> DataFrame:
     """(query_id, doc_id, score, rank) for a table of queries (query_id, text), by BM25.
 
-    Statistics come from the same scan of the postings, and only terms of queries are read.
+    Only postings of terms of the queries are read; a stored index gives their document counts and the statistics.
     """
     f = index.field(field)
     wanted = queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     postings = index.postings.where((F.col("stemmer") == f.stemmer) & (F.col("field") == f.name)).select("term", "doc_id", "tf")
-    postings = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    known = index.field_stats().where(F.col("field") == f.name)
+    stats = known.agg(F.coalesce(F.sum("document_count"), F.lit(0)).alias("n"), F.coalesce(F.sum("collection_length"), F.lit(0)).alias("cl"))
     lengths = index.lengths_of(field)
-    stats = lengths.agg(F.count("*").alias("n"), F.sum(F.col("length").cast("long")).alias("cl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = index.vocabulary().where((F.col("stemmer") == f.stemmer) & (F.col("field") == f.name)).select("term", "df")
     weights = wanted.join(df, "term")
     scored = postings.join(weights, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
     tf = F.col("tf").cast("double")

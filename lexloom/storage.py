@@ -3,13 +3,14 @@
 Lineage is cut by writing Parquet below the folder that the cluster names in
 ``spark.checkpoint.dir``; every executor can read it, so a lost executor costs a
 re-read and never a failed stage.  Only a purely local session (tests) may lack
-the setting, and then a temporary folder is used.
+the setting, and then a temporary folder is used.  What was written stays until :func:`release` is called.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,10 +31,23 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[0]
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
+#: Bytes of rows that go to a Python worker at a time, unless the session says otherwise.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches of long texts small, so that Python workers do."""
+    # 64 MB is what Spark has by default
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+def new_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A path below the shared folder that nothing else uses; :func:`release` passes over those to keep."""
+    bound_batches(spark)
     path = f"{shared_root(spark)}/lexloom/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if not keep:
+        _WRITTEN.append(path)
     return path
 
 
@@ -45,10 +59,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table :func:`materialize` wrote; call it once results are stored."""
+def release(spark: SparkSession, keep: Collection[str] = ()) -> None:
+    """Delete what :func:`materialize` and others wrote below the shared folder, but for the paths to keep; call it once results are stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for written in [p for p in _WRITTEN if p not in keep]:
+        path = jvm.org.apache.hadoop.fs.Path(written)
         path.getFileSystem(conf).delete(path, True)
+        _WRITTEN.remove(written)

@@ -18,7 +18,7 @@ def _has_segment(spark, path: str, segment: int) -> bool:
 
 
 def _drop_segment(spark, path: str, segment: int) -> None:
-    for table in ("postings", "vocabulary", "lengths", "documents"):
+    for table in ("postings", "vocabulary", "lengths", "statistics", "documents"):
         root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/segment={segment}")
         root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 

@@ -20,4 +20,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from lexloom import storage
+
+    storage.release(session)
     session.stop()
