@@ -6,7 +6,12 @@
 4. the secret scan drops documents that hold a secret;
 5. retrieval packing puts the rest into windows.
 
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``, extra ones and clashing ones too.
+
+Nulls: a row without text has no language and goes in stage 1, as do empty texts and texts without letters; a row without doc_id passes
+stages 2 to 4 (4 drops it if it holds a secret) and fills no window.  Very long texts are read whole in every stage.  Repeated rows of one doc_id and text
+share their fate and fill one window; rows of one doc_id with different texts are near copies or contaminated together, by their doc_id.  Ties: of equal
+copies the smallest doc_id stays.  An empty table, or one without labelled languages, gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import decontaminate, langid, minhash, packing, secrets
-from lexloom.storage import materialize
+from lexloom.storage import bound_batches, materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return langid.keep_identified(docs)
 
 
