@@ -40,6 +40,10 @@ _OPENED: dict[tuple[str, str], Index] = {}
 
 def _lazy(spark: SparkSession, sf_dir: str) -> Index:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # a table of one row group is one task otherwise, however many cores there are; tables of many files are left where they lie
+    cores = spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) < min(cores, 64):
+        docs = docs.repartition(cores, "doc_id")
     return build_index(docs.withColumn("name", F.concat_ws("-", "source", "doc_id")), SCHEMA, name="name")
 
 
