@@ -185,8 +185,15 @@ class Plan:
     def is_open(self) -> bool:
         return any(isinstance(n, _OPEN) for n in X.walk(self.expr))
 
-    def counted(self) -> DataFrame:
-        """A row for each document that holds a term of the tree."""
+    def own_lengths(self) -> str | None:
+        """The column of the lengths where postings have all that are asked for: every row then comes from terms of that one field."""
+        names = {f.name for f, _ in self.terms}
+        if self.is_open() or "length" not in self.index.postings.columns or set(self.length_fields) != names or len(names) != 1:
+            return None
+        return self.length_fields[names.pop()]
+
+    def counted(self, length: str | None = None) -> DataFrame:
+        """A row for each document that holds a term of the tree, with its length under that name."""
         if not self.terms:
             return self.index.documents.limit(0).select("doc_id")
         by_field: dict[Field, list[tuple[str, int]]] = {}
@@ -199,6 +206,8 @@ class Plan:
             out.append(F.sum(F.when(is_it, F.col("tf"))).alias(f"tf{k}"))
             if k in self.with_positions:
                 out.append(F.first(F.when(is_it, F.col("positions")), ignorenulls=True).alias(f"pos{k}"))
+        if length:
+            out.append(F.first("length", ignorenulls=True).alias(length))
         found = self.index.postings.where(wanted).groupBy("doc_id").agg(*out)
         # each window is computed once, however often the tree refers to it
         for node, name in self.windows.values():
@@ -209,12 +218,21 @@ class Plan:
     def statistics(self, counted: DataFrame) -> DataFrame | None:
         """One row: collection statistics of all counted nodes and fields."""
         out: DataFrame | None = None
-        wanted = []
+        wanted, stored = [], []
         for node, name in self.stats.values():
+            if isinstance(node, X.Text) and self.index.stored_vocabulary is not None:
+                f = self.index.field(node.stats_field or node.field)
+                is_it = (F.col("stemmer") == f.stemmer) & (F.col("field") == f.name) & (F.col("term") == node.term)
+                stored += [(is_it, F.coalesce(F.sum(F.when(is_it, F.col(what))), F.lit(0)).alias(f"{name}_{what}")) for what in ("df", "cf")]
+                continue
             tf = self._statistics_tf(node)
             wanted += [F.count_if(tf > 0).alias(f"{name}_df"), F.coalesce(F.sum(tf), F.lit(0)).alias(f"{name}_cf")]
         if wanted:
             out = counted.agg(*wanted)
+        if stored:
+            # what single terms count is in the vocabulary
+            own = self.index.stored_vocabulary.where(reduce(Column.__or__, (w for w, _ in stored))).agg(*(c for _, c in stored))
+            out = own if out is None else out.crossJoin(own)
         for f, name in self.length_fields.items():
             known = self.index.field_stats().where(F.col("field") == f)
             own = known.agg(F.coalesce(F.sum("document_count"), F.lit(0)).alias(f"{name}_n"), F.coalesce(F.sum("collection_length"), F.lit(0)).alias(f"{name}_cl"))
@@ -228,7 +246,8 @@ class Plan:
 
     def rows(self, doc_id: int | None = None) -> DataFrame:
         """A row for each document in question, with all columns that the tree refers to."""
-        counted = self.counted()
+        length = self.own_lengths() if doc_id is None else None
+        counted = self.counted(length)
         stats = self.statistics(counted) if self.stats else None
         rows = counted
         if doc_id is not None:
@@ -237,6 +256,8 @@ class Plan:
         elif self.is_open():
             rows = self.index.documents.select("doc_id", *sorted(self.params)).join(counted, "doc_id", "left")
         for f, name in self.length_fields.items():
+            if name == length:
+                continue
             own = self.index.lengths.where(F.col("field") == f).select("doc_id", F.col("length").alias(name))
             rows = rows.join(own, "doc_id", "left")
         # one row, whatever the size of the collection

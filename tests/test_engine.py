@@ -255,3 +255,13 @@ def test_written_without_a_shuffle_of_postings(spark, tmp_path):
     for part in (tmp_path / "i" / "postings" / "segment=0" / "stemmer=__HIVE_DEFAULT_PARTITION__" / "field=body").glob("*.parquet"):
         terms = [r.term for r in spark.read.parquet(f"file://{part}").where("term IS NOT NULL").collect()]
         assert terms == sorted(terms)
+
+
+def test_scores_read_the_postings_once(spark, index, tmp_path):
+    write_index(index, str(tmp_path / "i"))
+    i = open_index(spark, str(tmp_path / "i"))
+    node = X.Require(t("a"), X.BM25(t("b")))
+    got = compiler.scores(i, node)
+    plan = jobs(spark, got)
+    assert plan.count("FileScan parquet") == 3  # postings, vocabulary, statistics
+    assert {r.doc_id: r.score for r in got.collect()} == pytest.approx({d: bm25(t("b"), w) for d, w in BODY.items() if {"a", "b"} <= set(w)})
