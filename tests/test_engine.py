@@ -275,3 +275,21 @@ def test_term_lengths_are_stored(spark, index, tmp_path):
     want = {x: (min(len(w) for w in BODY.values() if x in w), max(len(w) for w in BODY.values() if x in w)) for x in "abcde"}
     assert {r.term: (r.min_length, r.max_length) for r in got.where("field = 'body'").collect()} == want
     assert got.where("field = 'lang'").count() == 0
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1 << 20])
+def test_batch_stays_in_its_part(spark, index, tmp_path, monkeypatch, cells):
+    """The k best of each query, ties by doc_id, whatever part of the documents is scored at a time."""
+    write_index(index, str(tmp_path / "i"))
+    i = open_index(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([("q1", "a b b"), ("q2", "e"), ("q3", "zz"), (None, "a"), ("q4", None), ("q5", "c zz d")], "query_id string, text string")
+    monkeypatch.setattr(search, "BATCH_WEIGHTS", 0)
+    want = search.search_batch(i, asked, 4, "body")
+    assert "Join" in jobs(spark, want) and "MapInArrow" not in jobs(spark, want)
+    monkeypatch.setattr(search, "BATCH_WEIGHTS", 1000)
+    monkeypatch.setattr(search, "CELLS", cells)
+    monkeypatch.setattr(search, "PRODUCTS", cells)
+    got = search.search_batch(i, asked, 4, "body")
+    assert "MapInArrow" in jobs(spark, got)
+    plain = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert plain(got) == plain(want) and len(plain(got)) == 12
