@@ -1,4 +1,4 @@
-"""Column functions: tokenizers and gaps stay inside the JVM, windows of positions are one sorted pass over Arrow arrays."""
+"""Column functions: tokenizers and gaps stay inside the JVM, sums of gaps and windows of positions are one pass over Arrow arrays."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,15 +42,28 @@ def gaps(sorted_values: Column | str) -> Column:
 
 
 def ungap(differences: Column | str) -> Column:
-    """The inverse of :func:`gaps`, in one pass."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-
-    def step(held: Column, d: Column) -> Column:
-        at = held["at"] + d
-        return F.struct(at.alias("at"), F.concat(held["out"], F.array(at)).alias("out"))
-
-    return F.aggregate(_column(differences), start, step, lambda held: held["out"])
+    """The inverse of :func:`gaps`, in one pass over Arrow arrays."""
+
+    def sums(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        if flat.null_count:
+            return pa.array([None if own is None else _sums(own) for own in lists.to_pylist()], pa.list_(pa.int64()))
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.append(0, np.cumsum(sizes))
+        total = np.append(0, np.cumsum(flat.to_numpy(zero_copy_only=False)))
+        own = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(total[1:] - np.repeat(total[bounds[:-1]], sizes), pa.int64()))
+        return pc.if_else(lists.is_valid(), own, pa.nulls(len(own), own.type)) if lists.null_count else own
+
+    return F.arrow_udf(sums, "array<bigint>")(_column(differences).cast("array<bigint>"))
+
+
+def _sums(differences: list[int | None]) -> list[int | None]:
+    """Running sums; from a null on they are null."""
+    out, at = [], 0
+    for d in differences:
+        at = None if at is None or d is None else at + d
+        out.append(at)
+    return out
 
 
 #: Rows are told apart by what lies above the bits of a position.

@@ -83,3 +83,14 @@ def test_vocabulary_is_stemmed_once(spark):
     df = spark.createDataFrame([("hoped",), ("hoped",), (None,), ("hopping",)], "term string")
     assert {tuple(r) for r in stemmers.stem_vocabulary(df, stemmers.porter2).collect()} == {("hoped", "hope"), ("hopping", "hop")}
     assert {r[1] for r in stemmers.stem_vocabulary(df, stemmers.null_stem).collect()} == {"hoped", "hopping"}
+
+
+def test_sums_of_long_gaps_are_one_pass(spark):
+    """Each step copied what was summed up so far."""
+    rows = [(1, list(range(0, 600_000, 3))), (2, []), (3, None), (4, [5]), (5, [-2, 0, 0])]
+    df = spark.createDataFrame(rows, "k int, v array<int>")
+    got = df.select("k", columns.ungap(columns.gaps("v")).alias("v"))
+    assert "ArrowEvalPython" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.v for r in got.collect()} == dict(rows)
+    odd = spark.createDataFrame([([1, None, 2],), (None,)], "v array<bigint>").select(columns.ungap("v").alias("v"))
+    assert [r.v for r in odd.collect()] == [[1, None, None], None]
