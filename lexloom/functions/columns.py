@@ -35,10 +35,12 @@ def skip_entities(text: Column | str) -> Column:
 def gaps(sorted_values: Column | str) -> Column:
     """Differences of a sorted array, from 0 on; an unsorted one fails."""
     v = _column(sorted_values)
-    shifted = F.concat(F.array(F.lit(0)), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))))
-    d = F.zip_with(v, F.when(F.size(v) > 0, shifted).otherwise(v), lambda a, b: a - b)
-    bad = F.exists(F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(0))), lambda x: x < 0)
-    return F.when(bad, F.raise_error(F.lit("values aren't sorted"))).otherwise(d)
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.get(v, i - 1)
+        return F.when(i == 0, x).when(x < before, F.raise_error(F.lit("values aren't sorted"))).otherwise(x - before)
+
+    return F.transform(v, step)
 
 
 def ungap(differences: Column | str) -> Column:

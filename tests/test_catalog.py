@@ -36,7 +36,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["always_match", "name_lookup", "ungap_positions"])
+@pytest.mark.parametrize("name", ["always_match", "name_lookup", "position_gaps", "ungap_positions"])
 def test_whole_tables_need_no_index(spark, name, monkeypatch):
     """What is returned as a whole is made from the documents; a written index is opened where there is one."""
     monkeypatch.setattr(catalog, "_OPENED", {})

@@ -94,3 +94,11 @@ def test_sums_of_long_gaps_are_one_pass(spark):
     assert {r.k: r.v for r in got.collect()} == dict(rows)
     odd = spark.createDataFrame([([1, None, 2],), (None,)], "v array<bigint>").select(columns.ungap("v").alias("v"))
     assert [r.v for r in odd.collect()] == [[1, None, None], None]
+
+
+def test_gaps_are_one_pass(spark):
+    df = spark.createDataFrame([([4, 4, 9],), ([3, None, 5],), (None,), ([],)], "v array<int>")
+    got = df.select(columns.gaps("v").alias("v"))
+    assert [r.v for r in got.collect()] == [[4, 0, 5], [3, None, None], None, []]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction") == 1 and "zip_with" not in plan
