@@ -102,3 +102,17 @@ def test_gaps_are_one_pass(spark):
     assert [r.v for r in got.collect()] == [[4, 0, 5], [3, None, None], None, []]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("lambdafunction") == 1 and "zip_with" not in plan
+
+
+def test_tokens_of_pages_are_made_in_slices(spark):
+    """Python objects of one slice exist at a time, however many pages a batch has."""
+    import pyarrow as pa
+
+    own = ["a" * 1000, None, "b" * (2 * markup.SLICE), *(["c" * 5000] * 500)]
+    parts = list(markup._slices(pa.array(own)))
+    assert [t for part in parts for t in part] == [t or "" for t in own]
+    assert all(sum(map(len, part[:-1])) < markup.SLICE for part in parts) and len(parts) > 9
+    pages = spark.createDataFrame([(k, f"<p class='x'>word{k} and</p>" * 3000 if k % 3 else None) for k in range(30)], "k int, html string").coalesce(1)
+    got = {r.k: r.d for r in pages.select("k", markup.markup_document("html", ("p",)).alias("d")).collect()}
+    assert all(len(got[k].terms) == (6000 if k % 3 else 0) and len(got[k].tags) == (3000 if k % 3 else 0) for k in range(30))
+    assert got[1].tags[0].attributes == {"class": "x"} and got[1].terms[:2] == ["word1", "and"]
