@@ -31,6 +31,8 @@ from .vectext import SPACE_CLASS, Stretch, Words, chunks, signed, sliding
 
 LENGTH = 50
 GRAM = 16
+#: Bytes of documents whose anchors are found at a time; the arrays of one piece take about 50 times that.
+ANCHOR_BYTES = 512 << 10
 #: Words of segments that one shard structure holds at most, unless one anchor alone has more.
 SHARD_WORDS = 600_000
 
@@ -86,7 +88,7 @@ def _emit_anchors(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, data, offs in chunks(batch.column(2)):
+            for lo, data, offs in chunks(batch.column(2), ANCHOR_BYTES):
                 own = slice(lo, lo + len(offs) - 1)
                 found = anchors_of(ids[own], texts[own], data, offs, length, gram)
                 if len(found["anchor"]):
@@ -107,16 +109,20 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-def candidates(docs: DataFrame, length: int, gram: int, label: str) -> DataFrame:
-    """Stored anchors with a stretch that occurs in two documents or more."""
-    found = rows_of(docs).mapInArrow(_emit_anchors(length, gram), ANCHORS)
-    kept = _shared(found, ["anchor"]).where("shared")
+def _repeating(found: DataFrame) -> DataFrame:
+    """The anchors with a stretch that two documents have; all of an anchor meet in one task, in one order for the anchor and its first stretch."""
+    kept = _shared(found.repartition("anchor").sortWithinPartitions("anchor", _STRETCHES[0]), ["anchor"]).where("shared")
     hits = []
     for h in _STRETCHES:
         kept = _shared(kept, ["anchor", h]).withColumnRenamed("shared", f"shared_{h}")
         hits.append(F.col(h).isNotNull() & F.col(f"shared_{h}"))
-    kept = kept.where(hits[0] | hits[1] | hits[2]).select("anchor", "segment", "doc_id", "text_hash", "start", "n_words")
-    return materialize(kept, label)
+    return kept.where(hits[0] | hits[1] | hits[2]).select("anchor", "segment", "doc_id", "text_hash", "start", "n_words")
+
+
+def candidates(docs: DataFrame, length: int, gram: int, label: str) -> DataFrame:
+    """Stored anchors with a stretch that occurs in two documents or more."""
+    found = rows_of(docs).mapInArrow(_emit_anchors(length, gram), ANCHORS)
+    return materialize(_repeating(found), label)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

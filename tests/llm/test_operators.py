@@ -5,14 +5,16 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import automaton, decontaminate, embeddings, langid, minhash, packing, pii, repeats, secrets, suffix_array, wrappers
+from lexloom.llm import automaton, decontaminate, embeddings, langid, minhash, packing, pii, repeats, secrets, suffix_array, vectext, wrappers
 
 SF = "/root/testdata/sf0.001"
 
@@ -357,6 +359,24 @@ def test_small_shards_change_nothing(spark, repeating, monkeypatch):
     assert all(r == runs[0] for r in runs) and runs[0]
 
 
+def test_anchors_take_few_sorts_and_little_memory(spark):
+    rng = random.Random(5)
+    known = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choices(known, k=300)) for _ in range(2600)]
+    rows = spark.createDataFrame([(0, 1, texts[0])], "doc_id long, text_hash long, text string")
+    plan = repeats._repeating(rows.mapInArrow(repeats._emit_anchors(50, 16), repeats.ANCHORS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 3 and plan.count("Exchange ") == 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    parts = list(repeats._emit_anchors(50, 16)(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    whole = repeats.anchors_of(np.arange(len(texts)), np.arange(len(texts)), *vectext.string_buffers(batch.column(2)), 50, 16)
+    got = pa.Table.from_batches(parts)
+    assert all(got[c].combine_chunks().equals(pa.array(v)) for c, v in whole.items())
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(3)
     for n, sigma in [(1, 1), (7, 2), (60, 2), (200, 5), (120, 1), (400, 60)]:
